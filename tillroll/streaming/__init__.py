@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The reference is a bounded batch pipeline (CSV load, cleaning, imputation,
+one final table, profiling). It has no stream source, watermark, windowed
+aggregation over event time or stateful operator, so nothing here is built;
+the final table is written in batch by ``tillroll.plans.pipeline.run``.
+"""
