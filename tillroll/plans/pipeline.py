@@ -36,6 +36,7 @@ class Params:
     qty_scale: int = 0
     clean: bool = True
     split_missing: bool = True
+    checkpoint_joined: bool = True
     item_levels: list = field(default_factory=lambda: [
         ["global_product_id"], ["primary_category_id", "secondary_category_id"],
         ["retailer_id", "brand_id"]])
@@ -78,6 +79,13 @@ class Cleaned:
     brands: DataFrame
     details: DataFrame
     items: DataFrame
+    _memo: dict = field(default_factory=dict, repr=False)
+
+    def memo(self, key: str, make):
+        """Evaluate a global value (median, joined rows) once per cleaned input."""
+        if key not in self._memo:
+            self._memo[key] = make()
+        return self._memo[key]
 
 
 def clean_stage(inp: Inputs, p: Params) -> Cleaned:
@@ -115,39 +123,66 @@ def fallback(median: DataFrame) -> "F.Column":
     return literal(one_row(median)[0], "decimal(18,2)")
 
 
-def impute_receipts(receipts: DataFrame, p: Params, level_col: str | None = None) -> DataFrame:
+def impute_receipts(receipts: DataFrame, p: Params, level_col: str | None = None,
+                    fb=None) -> DataFrame:
     """Receipts.* + imputed_total_price + flag_total_price_imputed."""
-    fb = fallback(median_total(receipts, p))
+    fb = fallback(median_total(receipts, p)) if fb is None else fb
     t = impute.Target("total_price", p.price_scale, "imputed_total_price", fb,
                       flag="flag_total_price_imputed", level_col=level_col)
     return impute.hierarchical_impute(receipts, [t], p.receipt_levels, p.receipt_level_names,
                                       split_missing=p.split_missing)
 
 
-def item_targets(items: DataFrame, p: Params, levels: bool = False) -> list[impute.Target]:
+def item_targets(c: Cleaned, p: Params, levels: bool = False) -> list[impute.Target]:
+    mp = c.memo("median_price", lambda: fallback(median_price(c.items, p)))
+    mq = c.memo("median_qty", lambda: fallback(median_qty(c.items, p)))
     return [
-        impute.Target("price", p.price_scale, "imputed_price", fallback(median_price(items, p)),
+        impute.Target("price", p.price_scale, "imputed_price", mp,
                       flag="flag_price_imputed", level_col="price_level" if levels else None),
-        impute.Target("quantity", p.qty_scale, "imputed_quantity", fallback(median_qty(items, p)),
+        impute.Target("quantity", p.qty_scale, "imputed_quantity", mq,
                       flag="flag_qty_imputed", level_col="qty_level" if levels else None),
     ]
 
 
+def joined_items(c: Cleaned, p: Params) -> DataFrame:
+    """J1 + J2, computed once per cleaned input.
+
+    The joined rows feed the three level aggregates, the rows to complete and
+    the rows already complete. With ``checkpoint_joined`` they are written
+    once to the shared checkpoint folder (a reliable checkpoint: survives
+    executor loss, cuts the lineage) instead of re-running both large joins
+    for every consumer; the checkpoint keeps the hash partitioning on
+    receipt_id, so the later join on the same key does not move them again.
+    """
+    def make():
+        s = enrich.join_items(c.items, c.details, c.receipts)
+        if not p.checkpoint_joined:
+            return s
+        ensure_checkpoint_dir(s.sparkSession)
+        return s.checkpoint(eager=True)
+    return c.memo("joined", make)
+
+
+def receipts_imputed(c: Cleaned, p: Params, level_col: str | None = None) -> DataFrame:
+    fb = c.memo("median_total", lambda: fallback(median_total(c.receipts, p)))
+    return impute_receipts(c.receipts, p, level_col, fb)
+
+
 def impute_items(c: Cleaned, p: Params, levels: bool = False) -> DataFrame:
     """I1 + I2 (+ I4 flags): new_receipt_items over the joined rows."""
-    s = enrich.join_items(c.items, c.details, c.receipts)
-    return impute.hierarchical_impute(s, item_targets(c.items, p, levels), p.item_levels,
+    s = joined_items(c, p)
+    return impute.hierarchical_impute(s, item_targets(c, p, levels), p.item_levels,
                                       p.item_level_names, split_missing=p.split_missing)
 
 
 def final_output(c: Cleaned, p: Params) -> DataFrame:
     """The 20-column final table (decimals kept as decimal(18,2))."""
-    s = enrich.join_items(c.items, c.details, c.receipts)
-    nr = impute_receipts(c.receipts, p)
+    s = joined_items(c, p)
+    nr = receipts_imputed(c, p)
     wide_r = enrich.receipt_side(nr, c.customers, c.retailers, p.as_of, p.zone)
     # J3 straight after J2 (same key): the item side keeps its partitioning.
     s3 = enrich.attach_receipts(s, wide_r)
-    nri = impute.hierarchical_impute(s3, item_targets(c.items, p), p.item_levels,
+    nri = impute.hierarchical_impute(s3, item_targets(c, p), p.item_levels,
                                      p.item_level_names, stats_from=s,
                                      split_missing=p.split_missing)
     return enrich.finish(nri, c.brands)
