@@ -10,14 +10,20 @@ unfoldable ``LIMIT (subquery)``, which Spark rejects, and a global sort.
 
 Spark form, without any single-task sort of the rows:
 
-1. ``hist``: ``groupBy(value).count()`` with map-side partial aggregation,
-   so the shuffle carries distinct values, not rows, and a hot value costs
-   one row per task.
-2. ``coarse``: the distinct values fall into ``buckets`` equal-width ranges
-   of ``[min, max]``; a running count over at most ``buckets`` rows finds
-   the one or two buckets that hold ranks ``m-1`` and ``m``.
+1. ``hist``: ``groupBy(series, value).count()`` with map-side partial
+   aggregation, so the shuffle carries distinct values, not rows, and a hot
+   value costs one row per task.
+2. ``coarse``: per series the distinct values fall into ``buckets``
+   equal-width ranges of ``[min, max]``; a running count over at most
+   ``buckets`` rows per series finds the one or two buckets that hold ranks
+   ``m-1`` and ``m``.
 3. Only the distinct values of those buckets are ranked (a window
-   partitioned by bucket), giving exact ranks for the two positions.
+   partitioned by series and bucket), giving exact ranks for the two
+   positions. A bucket holds at most (max - min) / buckets * 10^scale + 1
+   distinct decimal values, a bound set by the value range (prices are
+   capped before this runs), not by the row count.
+
+Several series (price, quantity, receipt total) run as one job.
 
 The values at the two ranks are combined with integer weights and rounded
 once (half away from zero).
@@ -33,46 +39,63 @@ from tillroll.functions.numeric import exact_mean
 COARSE_BUCKETS = 4096
 
 
-def lower_half_median(df: DataFrame, col: str, where: Column | None = None,
-                      scale: int = 2, buckets: int = COARSE_BUCKETS,
-                      alias: str = "median") -> DataFrame:
-    """M1-M3: one row, ``alias`` = lower-half median of ``col`` over ``where``."""
-    vals = df.select(F.col(col).alias("v"))
-    if where is not None:
-        vals = df.where(where).select(F.col(col).alias("v"))
-    vals = vals.where(F.col("v").isNotNull())
-    hist = vals.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-
-    # n, min and max: one global aggregate over the distinct values, attached
-    # once as columns (three scalar subqueries over the same aggregate, which
-    # Spark merges into one execution); later steps read the columns.
-    st = hist.agg(F.sum("c").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    hist = hist.select("v", "c", st.select("n").scalar().alias("n"),
-                       st.select("lo").scalar().alias("lo"), st.select("hi").scalar().alias("hi"))
-    m = F.call_function("div", F.col("n"), F.lit(2))
+def lower_half_medians(values: DataFrame, scales: dict[str, int] | None = None,
+                       buckets: int = COARSE_BUCKETS) -> DataFrame:
+    """Lower-half medians of several series in one job.
 
+    ``values`` has columns ``g`` (series name) and ``v`` (decimal, already
+    filtered to the qualifying rows). Returns ``g, median`` with one row per
+    series present, rounded to ``scales[g]`` places (default 2).
+    """
+    scales = scales or {}
+    vals = values.where(F.col("v").isNotNull())
+    hist = vals.groupBy("g", "v").agg(F.count(F.lit(1)).alias("c"))
+    # One row per series: bounded by the number of series, so broadcast.
+    st = hist.groupBy("g").agg(F.sum("c").alias("n"), F.min("v").alias("lo"),
+                               F.max("v").alias("hi"))
     span = (F.col("hi") - F.col("lo")).cast("double")
     pos = (F.col("v") - F.col("lo")).cast("double") / span * buckets
     bucket = F.when(span > 0, F.least(F.floor(pos), F.lit(buckets - 1))).otherwise(F.lit(0))
-    binned = hist.withColumn("b", bucket.cast("int")).withColumn("m", m)
+    binned = (hist.join(F.broadcast(st), "g")
+              .select("g", "v", "c", bucket.cast("int").alias("b"),
+                      F.call_function("div", F.col("n"), F.lit(2)).alias("m")))
 
-    coarse = binned.groupBy("b", "m").agg(F.sum("c").alias("bc"))
-    m = F.col("m")
-    upto = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    coarse = binned.groupBy("g", "b", "m").agg(F.sum("c").alias("bc"))
+    upto = Window.partitionBy("g").orderBy("b").rowsBetween(Window.unboundedPreceding,
+                                                           Window.currentRow)
     coarse = coarse.withColumn("cum", F.sum("bc").over(upto))
-    # Buckets whose rank span (cum - bc, cum] meets the target span (m-2, m].
+    m = F.col("m")
+    # Buckets whose rank span (cum - bc, cum] meets the target span (m-2, m]:
+    # at most two per series, so broadcast.
     targets = coarse.where((F.col("cum") > m - 2) & (F.col("cum") - F.col("bc") < m)) \
-        .select("b", (F.col("cum") - F.col("bc")).alias("offset"))
-    binned = binned.drop("n", "lo", "hi")
-
-    # At most two target rows by construction: safe to broadcast.
-    fine = binned.join(F.broadcast(targets), "b")
-    within = Window.partitionBy("b").orderBy("v").rowsBetween(Window.unboundedPreceding,
-                                                              Window.currentRow)
+        .select("g", "b", (F.col("cum") - F.col("bc")).alias("offset"))
+    fine = binned.join(F.broadcast(targets), ["g", "b"])
+    within = Window.partitionBy("g", "b").orderBy("v").rowsBetween(Window.unboundedPreceding,
+                                                                   Window.currentRow)
     fine = fine.withColumn("cum", F.col("offset") + F.sum("c").over(within))
     w = F.greatest(F.lit(0), F.least(F.col("cum"), m) - F.greatest(F.col("cum") - F.col("c"), m - 2))
-    picked = fine.select((F.col("v") * w).alias("vw"), w.alias("w"))
-    return picked.agg(exact_mean(F.sum("vw"), F.sum("w"), scale).alias(alias))
+    sums = fine.groupBy("g").agg(F.sum(F.col("v") * w).alias("sv"), F.sum(w).alias("sw"))
+    out = None
+    for name, k in scales.items():
+        out = (F.when(F.col("g") == name, exact_mean("sv", "sw", k)) if out is None
+               else out.when(F.col("g") == name, exact_mean("sv", "sw", k)))
+    default = exact_mean("sv", "sw", 2)
+    med = default if out is None else out.otherwise(default)
+    return sums.select("g", med.cast("decimal(18,2)").alias("median"))
+
+
+def lower_half_median(df: DataFrame, col: str, where: Column | None = None,
+                      scale: int = 2, buckets: int = COARSE_BUCKETS,
+                      alias: str = "median") -> DataFrame:
+    """M1-M3: one row, ``alias`` = lower-half median of ``col`` over ``where``
+    (NULL when fewer than two values qualify)."""
+    src = df.where(where) if where is not None else df
+    vals = src.select(F.lit("x").alias("g"), F.col(col).alias("v"))
+    meds = lower_half_medians(vals, {"x": scale}, buckets)
+    # Left join from a one-row frame keeps the row when nothing qualifies.
+    one = df.sparkSession.range(1).select(F.lit("x").alias("g"))
+    return one.join(meds, "g", "left").select(
+        F.col("median").cast(f"decimal(18,{scale})").alias(alias))
 
 
 def exact_median(df: DataFrame, col: str, where: Column | None = None,

@@ -36,7 +36,7 @@ class Params:
     qty_scale: int = 0
     clean: bool = True
     split_missing: bool = True
-    checkpoint_joined: bool = True
+    stage_joined: bool = True
     item_levels: list = field(default_factory=lambda: [
         ["global_product_id"], ["primary_category_id", "secondary_category_id"],
         ["retailer_id", "brand_id"]])
@@ -123,6 +123,24 @@ def fallback(median: DataFrame) -> "F.Column":
     return literal(one_row(median)[0], "decimal(18,2)")
 
 
+def all_medians(c: Cleaned, p: Params) -> dict:
+    """M1, M2 and M3 in one job (grouped lower-half median), as literals.
+
+    Only the three result rows reach the driver; see functions.scalars.
+    """
+    def make():
+        items = c.items
+        vals = (items.where(F.col("price") != 0).select(F.lit("price").alias("g"), F.col("price").alias("v"))
+                .unionByName(items.where(F.col("quantity") > 0)
+                             .select(F.lit("quantity").alias("g"), F.col("quantity").alias("v")))
+                .unionByName(c.receipts.where(F.col("total_price") != 0)
+                             .select(F.lit("total_price").alias("g"), F.col("total_price").alias("v"))))
+        scales = {"price": p.price_scale, "quantity": p.qty_scale, "total_price": p.price_scale}
+        got = {r["g"]: r["median"] for r in order_stats.lower_half_medians(vals, scales).collect()}
+        return {g: literal(got.get(g), "decimal(18,2)") for g in scales}
+    return c.memo("medians", make)
+
+
 def impute_receipts(receipts: DataFrame, p: Params, level_col: str | None = None,
                     fb=None) -> DataFrame:
     """Receipts.* + imputed_total_price + flag_total_price_imputed."""
@@ -134,8 +152,8 @@ def impute_receipts(receipts: DataFrame, p: Params, level_col: str | None = None
 
 
 def item_targets(c: Cleaned, p: Params, levels: bool = False) -> list[impute.Target]:
-    mp = c.memo("median_price", lambda: fallback(median_price(c.items, p)))
-    mq = c.memo("median_qty", lambda: fallback(median_qty(c.items, p)))
+    meds = all_medians(c, p)
+    mp, mq = meds["price"], meds["quantity"]
     return [
         impute.Target("price", p.price_scale, "imputed_price", mp,
                       flag="flag_price_imputed", level_col="price_level" if levels else None),
@@ -144,28 +162,34 @@ def item_targets(c: Cleaned, p: Params, levels: bool = False) -> list[impute.Tar
     ]
 
 
+def stage_table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as parquet under the shared checkpoint folder and read
+    it back: the lineage is cut (a lost executor recomputes from the written
+    stage), consumers get column pruning and size statistics, and the rows
+    are computed exactly once however many consumers follow."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tillroll-stages/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def joined_items(c: Cleaned, p: Params) -> DataFrame:
     """J1 + J2, computed once per cleaned input.
 
     The joined rows feed the three level aggregates, the rows to complete and
-    the rows already complete. With ``checkpoint_joined`` they are written
-    once to the shared checkpoint folder (a reliable checkpoint: survives
-    executor loss, cuts the lineage) instead of re-running both large joins
-    for every consumer; the checkpoint keeps the hash partitioning on
-    receipt_id, so the later join on the same key does not move them again.
+    the rows already complete. With ``stage_joined`` they are staged once
+    (``stage_table``) instead of re-running both large joins per consumer
+    (each consumer pushes different filters below the joins, so Spark cannot
+    reuse the shuffles).
     """
     def make():
         s = enrich.join_items(c.items, c.details, c.receipts)
-        if not p.checkpoint_joined:
-            return s
-        ensure_checkpoint_dir(s.sparkSession)
-        return s.checkpoint(eager=True)
+        return stage_table(s, "joined-items") if p.stage_joined else s
     return c.memo("joined", make)
 
 
 def receipts_imputed(c: Cleaned, p: Params, level_col: str | None = None) -> DataFrame:
-    fb = c.memo("median_total", lambda: fallback(median_total(c.receipts, p)))
-    return impute_receipts(c.receipts, p, level_col, fb)
+    return impute_receipts(c.receipts, p, level_col, all_medians(c, p)["total_price"])
 
 
 def impute_items(c: Cleaned, p: Params, levels: bool = False) -> DataFrame:
@@ -202,11 +226,8 @@ def run(spark: SparkSession, src: Inputs, out: str, p: Params = Params(),
     """
     c = clean_stage(src, p)
     if stage:
-        base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tillroll-stages/{uuid.uuid4().hex}"
-        csv_io.write_table(c.items, f"{base}/items")
-        csv_io.write_table(c.receipts, f"{base}/receipts")
-        c = Cleaned(csv_io.read_table(spark, f"{base}/receipts"), c.customers, c.retailers,
-                    c.brands, c.details, csv_io.read_table(spark, f"{base}/items"))
+        c = Cleaned(stage_table(c.receipts, "receipts"), c.customers, c.retailers,
+                    c.brands, c.details, stage_table(c.items, "items"))
     final = final_output(c, p)
     csv_io.write_table(final, out)
     result = csv_io.read_table(spark, out)
