@@ -200,14 +200,21 @@ def impute_items(c: Cleaned, p: Params, levels: bool = False) -> DataFrame:
 
 
 def final_output(c: Cleaned, p: Params) -> DataFrame:
-    """The 20-column final table (decimals kept as decimal(18,2))."""
-    s = joined_items(c, p)
-    nr = receipts_imputed(c, p)
-    wide_r = enrich.receipt_side(nr, c.customers, c.retailers, p.as_of, p.zone)
-    # J3 straight after J2 (same key): the item side keeps its partitioning.
-    s3 = enrich.attach_receipts(s, wide_r)
+    """The 20-column final table (decimals kept as decimal(18,2)).
+
+    J1, J2 and J3 run back to back (J2 and J3 share the receipt_id
+    partitioning), the result is staged once, and the item means are taken
+    over its first-copy rows (the J2 rows).
+    """
+    def make():
+        nr = receipts_imputed(c, p)
+        wide_r = enrich.receipt_side(nr, c.customers, c.retailers, p.as_of, p.zone)
+        s3 = enrich.attach_receipts(enrich.join_items(c.items, c.details, c.receipts), wide_r)
+        return stage_table(s3, "items-receipts") if p.stage_joined else s3
+    s3 = c.memo("joined_wide", make)
+    stats = s3.where(enrich.first_copy())
     nri = impute.hierarchical_impute(s3, item_targets(c, p), p.item_levels,
-                                     p.item_level_names, stats_from=s,
+                                     p.item_level_names, stats_from=stats,
                                      split_missing=p.split_missing)
     return enrich.finish(nri, c.brands)
 
