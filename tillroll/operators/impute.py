@@ -12,8 +12,9 @@ where "usable" means neither NULL nor 0 *after rounding*. That CASE is
 ``coalesce(nullif(v, 0), nullif(mean1, 0), nullif(mean2, 0), ..., fallback)``.
 
 Plan: every level is a keyed aggregate (``sum`` and ``count`` per key, with
-map-side partial aggregation, so a hot key costs one row per task) that is
-joined back on the key with null-safe equality (a NULL key is one group, as
+map-side partial aggregation, so a hot key costs one row per task; all levels
+come from one GROUPING SETS aggregate) that is joined back on the key with
+null-safe equality (a NULL key is one group, as
 in ``PARTITION BY``). Only rows with something missing are sent through the
 lookup joins; complete rows bypass them. Adaptive execution broadcasts a
 lookup that turns out small and splits skewed partitions of a large one.
@@ -56,7 +57,7 @@ def keyed_mean(df: DataFrame, value: str, keys: list[str], scale: int,
 class Target:
     """One column to complete.
 
-    ``fallback`` is a scalar Column (e.g. a median scalar subquery) used when
+    ``fallback`` is a scalar Column (e.g. the median as a literal) used when
     no level has a usable mean; it may itself be NULL.
     """
     value: str
@@ -67,25 +68,49 @@ class Target:
     level_col: str | None = None
 
 
-def _lookup(stats: DataFrame, keys: list[str], targets: list[Target], i: int) -> DataFrame:
-    aggs = []
-    for t in targets:
-        v = F.col(t.value)
-        aggs.append(F.nullif(exact_mean(F.sum(v), F.count(v), t.scale), F.lit(0))
-                    .alias(f"__m{i}_{t.value}"))
-    lk = stats.groupBy(*keys).agg(*aggs)
+def _mean_cols(targets: list[Target], i: int) -> list[Column]:
+    return [F.nullif(exact_mean(F.sum(t.value), F.count(t.value), t.scale), F.lit(0))
+            .alias(f"__m{i}_{t.value}") for t in targets]
+
+
+def _finish_lookup(lk: DataFrame, keys: list[str], targets: list[Target], i: int) -> DataFrame:
     # A key whose means are all unusable never fills anything: drop it so the
     # lookup (and any broadcast of it) only holds useful keys.
     usable = reduce(lambda a, b: a | b, [F.col(f"__m{i}_{t.value}").isNotNull() for t in targets])
-    lk = lk.where(usable)
-    return lk.select(*[F.col(k).alias(f"__k{i}_{j}") for j, k in enumerate(keys)],
-                     *[f"__m{i}_{t.value}" for t in targets])
+    return lk.where(usable).select(*[F.col(k).alias(f"__k{i}_{j}") for j, k in enumerate(keys)],
+                                   *[f"__m{i}_{t.value}" for t in targets])
+
+
+def level_lookups(stats: DataFrame, levels: list[list[str]], targets: list[Target],
+                  one_pass: bool = True) -> list[DataFrame]:
+    """Per level, ``keys -> usable rounded means`` of every target.
+
+    ``one_pass`` computes all levels with one GROUPING SETS aggregate: a
+    single scan and a single shuffle of partial aggregates; ``grouping_id``
+    tells a level's rows apart (and a NULL key from a rolled-up column).
+    """
+    if not one_pass or len(levels) == 1:
+        return [_finish_lookup(stats.groupBy(*keys).agg(*_mean_cols(targets, i)), keys, targets, i)
+                for i, keys in enumerate(levels)]
+    cols = list(dict.fromkeys(k for keys in levels for k in keys))
+    aggs = [F.sum(t.value).alias(f"__s_{t.value}") for t in targets] + \
+        [F.count(t.value).alias(f"__n_{t.value}") for t in targets]
+    g = stats.groupingSets([list(keys) for keys in levels], *cols).agg(
+        *aggs, F.grouping_id().alias("__gid"))
+    out = []
+    for i, keys in enumerate(levels):
+        gid = sum(1 << (len(cols) - 1 - j) for j, c in enumerate(cols) if c not in keys)
+        means = [F.nullif(exact_mean(f"__s_{t.value}", f"__n_{t.value}", t.scale), F.lit(0))
+                 .alias(f"__m{i}_{t.value}") for t in targets]
+        lk = g.where(F.col("__gid") == gid).select(*keys, *means)
+        out.append(_finish_lookup(lk, keys, targets, i))
+    return out
 
 
 def hierarchical_impute(df: DataFrame, targets: list[Target], levels: list[list[str]],
                         level_names: list[str] | None = None,
                         stats_from: DataFrame | None = None,
-                        split_missing: bool = True) -> DataFrame:
+                        split_missing: bool = True, one_pass: bool = True) -> DataFrame:
     """Add ``t.out`` (+ ``t.flag``, ``t.level_col``) for every target.
 
     ``levels`` are key lists, most specific first. Group means come from
@@ -113,9 +138,11 @@ def hierarchical_impute(df: DataFrame, targets: list[Target], levels: list[list[
                 cols[t.level_col] = lvl.otherwise(FALLBACK)
         return frame.withColumns(cols)
 
+    lookups = level_lookups(stats, levels, targets, one_pass)
+
     def with_lookups(frame: DataFrame) -> DataFrame:
         for i, keys in enumerate(levels):
-            lk = _lookup(stats, keys, targets, i)
+            lk = lookups[i]
             cond = [F.col(k).eqNullSafe(F.col(f"__k{i}_{j}")) for j, k in enumerate(keys)]
             frame = frame.join(lk, cond, "left")
         out = complete(frame, True)
