@@ -36,7 +36,12 @@ class Params:
     qty_scale: int = 0
     clean: bool = True
     split_missing: bool = True
-    stage_joined: bool = True
+    # Stage the joined rows: True, False, or "auto" = when the optimizer's size
+    # estimate of the joined rows exceeds ``stage_min_bytes``. Staging costs a
+    # write and a read; recomputing costs the large joins once per consumer
+    # (three consumers), which only pays off for small inputs.
+    stage_joined: bool | str = "auto"
+    stage_min_bytes: int = 1 << 30
     item_levels: list = field(default_factory=lambda: [
         ["global_product_id"], ["primary_category_id", "secondary_category_id"],
         ["retailer_id", "brand_id"]])
@@ -173,18 +178,46 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def joined_items(c: Cleaned, p: Params) -> DataFrame:
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate of ``df`` (from file sizes and column widths)."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(size if isinstance(size, int) else size.toString())
+
+
+def maybe_stage(df: DataFrame, name: str, p: Params,
+                inputs: list[DataFrame]) -> tuple[DataFrame, bool]:
+    """Stage ``df`` when asked, or ("auto") when its join inputs are large.
+
+    The decision reads the inputs' scan sizes: without column statistics
+    Catalyst's estimate of a join output is unbounded, but the joined rows
+    grow with the item table.
+    """
+    if p.stage_joined == "auto":
+        stage = sum(estimated_bytes(x) for x in inputs) >= p.stage_min_bytes
+    else:
+        stage = bool(p.stage_joined)
+    return (stage_table(df, name), True) if stage else (df, False)
+
+
+def split_rows(p: Params, staged: bool) -> bool:
+    """Send only incomplete rows through the lookups when the joined rows are
+    staged. The split reads the joined rows twice (complete / incomplete):
+    cheap from a staged table, a second run of the large joins otherwise."""
+    return p.split_missing and staged
+
+
+def joined_items(c: Cleaned, p: Params) -> tuple[DataFrame, bool]:
     """J1 + J2, computed once per cleaned input.
 
     The joined rows feed the three level aggregates, the rows to complete and
-    the rows already complete. With ``stage_joined`` they are staged once
-    (``stage_table``) instead of re-running both large joins per consumer
+    the rows already complete. Large joined rows are staged once
+    (``maybe_stage``) instead of re-running both large joins per consumer
     (each consumer pushes different filters below the joins, so Spark cannot
     reuse the shuffles).
     """
     def make():
-        s = enrich.join_items(c.items, c.details, c.receipts)
-        return stage_table(s, "joined-items") if p.stage_joined else s
+        return maybe_stage(enrich.join_items(c.items, c.details, c.receipts), "joined-items", p,
+                           [c.items, c.details])
     return c.memo("joined", make)
 
 
@@ -194,9 +227,9 @@ def receipts_imputed(c: Cleaned, p: Params, level_col: str | None = None) -> Dat
 
 def impute_items(c: Cleaned, p: Params, levels: bool = False) -> DataFrame:
     """I1 + I2 (+ I4 flags): new_receipt_items over the joined rows."""
-    s = joined_items(c, p)
+    s, staged = joined_items(c, p)
     return impute.hierarchical_impute(s, item_targets(c, p, levels), p.item_levels,
-                                      p.item_level_names, split_missing=p.split_missing)
+                                      p.item_level_names, split_missing=split_rows(p, staged))
 
 
 def final_output(c: Cleaned, p: Params) -> DataFrame:
@@ -210,12 +243,12 @@ def final_output(c: Cleaned, p: Params) -> DataFrame:
         nr = receipts_imputed(c, p)
         wide_r = enrich.receipt_side(nr, c.customers, c.retailers, p.as_of, p.zone)
         s3 = enrich.attach_receipts(enrich.join_items(c.items, c.details, c.receipts), wide_r)
-        return stage_table(s3, "items-receipts") if p.stage_joined else s3
-    s3 = c.memo("joined_wide", make)
+        return maybe_stage(s3, "items-receipts", p, [c.items, c.details])
+    s3, staged = c.memo("joined_wide", make)
     stats = s3.where(enrich.first_copy())
     nri = impute.hierarchical_impute(s3, item_targets(c, p), p.item_levels,
                                      p.item_level_names, stats_from=stats,
-                                     split_missing=p.split_missing)
+                                     split_missing=split_rows(p, staged))
     return enrich.finish(nri, c.brands)
 
 
