@@ -128,22 +128,35 @@ def fallback(median: DataFrame) -> "F.Column":
     return literal(one_row(median)[0], "decimal(18,2)")
 
 
-def all_medians(c: Cleaned, p: Params) -> dict:
-    """M1, M2 and M3 in one job (grouped lower-half median), as literals.
+MEDIAN_SERIES = ("price", "quantity", "total_price")
 
-    Only the three result rows reach the driver; see functions.scalars.
+
+def all_medians(c: Cleaned, p: Params, wanted=MEDIAN_SERIES) -> dict:
+    """M1 (price), M2 (quantity), M3 (total_price) as literals.
+
+    The series not yet known are computed together in one job (a grouped
+    lower-half median); only their result rows reach the driver (see
+    functions.scalars). Known ones are reused.
     """
-    def make():
-        items = c.items
-        vals = (items.where(F.col("price") != 0).select(F.lit("price").alias("g"), F.col("price").alias("v"))
-                .unionByName(items.where(F.col("quantity") > 0)
-                             .select(F.lit("quantity").alias("g"), F.col("quantity").alias("v")))
-                .unionByName(c.receipts.where(F.col("total_price") != 0)
-                             .select(F.lit("total_price").alias("g"), F.col("total_price").alias("v"))))
+    todo = [g for g in wanted if f"median:{g}" not in c._memo]
+    if todo:
+        parts = {
+            "price": lambda: c.items.where(F.col("price") != 0)
+            .select(F.lit("price").alias("g"), F.col("price").alias("v")),
+            "quantity": lambda: c.items.where(F.col("quantity") > 0)
+            .select(F.lit("quantity").alias("g"), F.col("quantity").alias("v")),
+            "total_price": lambda: c.receipts.where(F.col("total_price") != 0)
+            .select(F.lit("total_price").alias("g"), F.col("total_price").alias("v")),
+        }
+        vals = parts[todo[0]]()
+        for g in todo[1:]:
+            vals = vals.unionByName(parts[g]())
         scales = {"price": p.price_scale, "quantity": p.qty_scale, "total_price": p.price_scale}
-        got = {r["g"]: r["median"] for r in order_stats.lower_half_medians(vals, scales).collect()}
-        return {g: literal(got.get(g), "decimal(18,2)") for g in scales}
-    return c.memo("medians", make)
+        got = {r["g"]: r["median"] for r in order_stats.lower_half_medians(
+            vals, {g: scales[g] for g in todo}).collect()}
+        for g in todo:
+            c._memo[f"median:{g}"] = literal(got.get(g), "decimal(18,2)")
+    return {g: c._memo[f"median:{g}"] for g in wanted}
 
 
 def impute_receipts(receipts: DataFrame, p: Params, level_col: str | None = None,
@@ -157,7 +170,7 @@ def impute_receipts(receipts: DataFrame, p: Params, level_col: str | None = None
 
 
 def item_targets(c: Cleaned, p: Params, levels: bool = False) -> list[impute.Target]:
-    meds = all_medians(c, p)
+    meds = all_medians(c, p, ("price", "quantity"))
     mp, mq = meds["price"], meds["quantity"]
     return [
         impute.Target("price", p.price_scale, "imputed_price", mp,
@@ -222,7 +235,7 @@ def joined_items(c: Cleaned, p: Params) -> tuple[DataFrame, bool]:
 
 
 def receipts_imputed(c: Cleaned, p: Params, level_col: str | None = None) -> DataFrame:
-    return impute_receipts(c.receipts, p, level_col, all_medians(c, p)["total_price"])
+    return impute_receipts(c.receipts, p, level_col, all_medians(c, p, ("total_price",))["total_price"])
 
 
 def impute_items(c: Cleaned, p: Params, levels: bool = False) -> DataFrame:
@@ -239,6 +252,7 @@ def final_output(c: Cleaned, p: Params) -> DataFrame:
     partitioning), the result is staged once, and the item means are taken
     over its first-copy rows (the J2 rows).
     """
+    all_medians(c, p)          # the three medians in one job
     def make():
         nr = receipts_imputed(c, p)
         wide_r = enrich.receipt_side(nr, c.customers, c.retailers, p.as_of, p.zone)
