@@ -36,10 +36,10 @@ class Params:
     qty_scale: int = 0
     clean: bool = True
     split_missing: bool = True
-    # Stage the joined rows: True, False, or "auto" = when the optimizer's size
-    # estimate of the joined rows exceeds ``stage_min_bytes``. Staging costs a
-    # write and a read; recomputing costs the large joins once per consumer
-    # (three consumers), which only pays off for small inputs.
+    # Stage the joined rows: True, False, or "auto" = when the scan-size
+    # estimate of the join inputs (items + details) exceeds ``stage_min_bytes``.
+    # Staging costs a write and a read; recomputing costs the large joins once
+    # per consumer, which only pays off for small inputs.
     stage_joined: bool | str = "auto"
     stage_min_bytes: int = 1 << 30
     item_levels: list = field(default_factory=lambda: [
@@ -253,6 +253,7 @@ def final_output(c: Cleaned, p: Params) -> DataFrame:
     over its first-copy rows (the J2 rows).
     """
     all_medians(c, p)          # the three medians in one job
+
     def make():
         nr = receipts_imputed(c, p)
         wide_r = enrich.receipt_side(nr, c.customers, c.retailers, p.as_of, p.zone)
