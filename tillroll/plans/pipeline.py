@@ -22,6 +22,7 @@ from tillroll.functions.scalars import literal, one_row
 from tillroll.operators import clean, enrich, impute, order_stats, outliers
 from tillroll.session import ensure_checkpoint_dir
 from tillroll.sources import csv_io, fixtures
+from tillroll.sources.schemas import RAW
 
 
 @dataclass(frozen=True)
@@ -75,6 +76,20 @@ class Inputs:
         return cls(t.receipts(), t.customers(), t.retailers(), t.brands(),
                    t.receipt_item_details(), t.receipt_items())
 
+    @classmethod
+    def from_csv(cls, spark: SparkSession, csv_dir: str, lenient: bool = False) -> "Inputs":
+        """S1 + C1 + C4 + C8: ``<csv_dir>/<table>.csv`` (file or folder of parts),
+        header, comma, declared all-string schema; sentinels to NULL, strict
+        numeric casts (``lenient`` turns malformed numbers into NULL), typed
+        dates and timestamps, ``char(n)`` padding of gender."""
+        def read(name: str) -> DataFrame:
+            return csv_io.read_csv(spark, f"{csv_dir.rstrip('/')}/{name}.csv", RAW[name])
+        customers = clean.pad_char(
+            read("customers").withColumn("birth_date", F.col("birth_date").cast("date")), "gender", 1)
+        return cls(clean.clean_receipts(read("receipts"), lenient), customers, read("retailers"),
+                   read("brands"), clean.clean_details(read("receipt_item_details")),
+                   clean.clean_items(read("receipt_items"), lenient))
+
 
 @dataclass
 class Cleaned:
