@@ -12,9 +12,8 @@ where "usable" means neither NULL nor 0 *after rounding*. That CASE is
 ``coalesce(nullif(v, 0), nullif(mean1, 0), nullif(mean2, 0), ..., fallback)``.
 
 Plan: every level is a keyed aggregate (``sum`` and ``count`` per key, with
-map-side partial aggregation, so a hot key costs one row per task; all levels
-come from one GROUPING SETS aggregate) that is joined back on the key with
-null-safe equality (a NULL key is one group, as
+map-side partial aggregation, so a hot key costs one row per task) that is
+joined back on the key with null-safe equality (a NULL key is one group, as
 in ``PARTITION BY``). Only rows with something missing are sent through the
 lookup joins; complete rows bypass them. Adaptive execution broadcasts a
 lookup that turns out small and splits skewed partitions of a large one.
@@ -82,12 +81,15 @@ def _finish_lookup(lk: DataFrame, keys: list[str], targets: list[Target], i: int
 
 
 def level_lookups(stats: DataFrame, levels: list[list[str]], targets: list[Target],
-                  one_pass: bool = True) -> list[DataFrame]:
+                  one_pass: bool = False) -> list[DataFrame]:
     """Per level, ``keys -> usable rounded means`` of every target.
 
-    ``one_pass`` computes all levels with one GROUPING SETS aggregate: a
-    single scan and a single shuffle of partial aggregates; ``grouping_id``
-    tells a level's rows apart (and a NULL key from a rolled-up column).
+    Default: one plain aggregate per level; each reads only its key and value
+    columns. ``one_pass`` instead builds one GROUPING SETS aggregate and
+    selects a level by ``grouping_id``. Measured: Catalyst pushes each
+    level's ``grouping_id = k`` filter below the aggregate (the id is a
+    grouping key), so every lookup re-runs the Expand (3x rows) and nothing is
+    shared - slower than the plain aggregates, hence off by default.
     """
     if not one_pass or len(levels) == 1:
         return [_finish_lookup(stats.groupBy(*keys).agg(*_mean_cols(targets, i)), keys, targets, i)
@@ -110,7 +112,7 @@ def level_lookups(stats: DataFrame, levels: list[list[str]], targets: list[Targe
 def hierarchical_impute(df: DataFrame, targets: list[Target], levels: list[list[str]],
                         level_names: list[str] | None = None,
                         stats_from: DataFrame | None = None,
-                        split_missing: bool = True, one_pass: bool = True) -> DataFrame:
+                        split_missing: bool = True, one_pass: bool = False) -> DataFrame:
     """Add ``t.out`` (+ ``t.flag``, ``t.level_col``) for every target.
 
     ``levels`` are key lists, most specific first. Group means come from
