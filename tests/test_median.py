@@ -62,3 +62,16 @@ def test_top_k_nulls_first_and_tiebreak(spark):
     df = spark.createDataFrame([("a", 5), ("b", 9), ("c", 9), ("d", None)], "k string, v int")
     got = [r.k for r in top_k(df, "v", 3, ["k"]).collect()]
     assert got == ["d", "b", "c"]
+
+
+def test_grouped_series_with_own_scales(spark):
+    from tillroll.operators.order_stats import lower_half_medians
+    rng = random.Random(11)
+    a = [Decimal(rng.randint(1, 90000)) / 100 for _ in range(501)]
+    b = [Decimal(rng.randint(1, 5000)) / 100 for _ in range(64)]
+    rows = [("a", v) for v in a] + [("b", v) for v in b] + [("c", Decimal("3"))]
+    df = spark.createDataFrame(rows, "g string, v decimal(18,2)")
+    got = {r.g: r.median for r in lower_half_medians(df, {"a": 2, "b": 0}).collect()}
+    assert got["a"] == brute(a, 2)
+    assert got["b"] == brute(b, 0)
+    assert got.get("c") is None            # one value: no rank qualifies
