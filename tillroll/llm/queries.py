@@ -9,8 +9,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tillroll.llm import bpe, exact_dedup, simhash
+from tillroll.llm import bpe, exact_dedup, imatch, linededup, mixing, rans, simhash, toxicity, urlrules, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -30,6 +31,49 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+@query("op1_toxicity")
+def op1_toxicity(spark, sf_dir):
+    return toxicity.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+MIX_SQL = r"""
+    WITH d AS (
+      SELECT doc_id, source,
+             len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+             0.25::DOUBLE + 0.75::DOUBLE * coalesce(
+               length(regexp_replace(coalesce(text, ''), '[^\p{L} ]+', '', 'g'))::DOUBLE
+               / nullif(length(coalesce(text, '')), 0), 0) AS w,
+             (('0x' || substr(md5('0|' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE
+              + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
+      FROM documents),
+    s AS (SELECT source, sum(size)::DOUBLE AS source_size,
+                 ([3, 1, 2])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS wt
+          FROM d GROUP BY source),
+    l AS (SELECT *, ((SELECT sum(source_size) FROM s) * 1.5::DOUBLE
+                     - coalesce(sum(2 * source_size) OVER (ORDER BY 2 * source_size / wt, source NULLS LAST
+                                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                    / sum(wt) OVER (ORDER BY 2 * source_size / wt, source NULLS LAST
+                                    ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+          FROM s),
+    f AS (SELECT level FROM l WHERE level * wt <= 2 * source_size
+          ORDER BY 2 * source_size / wt, source NULLS LAST LIMIT 1),
+    t AS (SELECT source, source_size, least(2 * source_size, (SELECT level FROM f) * wt) AS target FROM l),
+    e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS epochs FROM t),
+    p AS (SELECT d.doc_id, d.source, d.size, e.source_size, e.target, e.epochs,
+                 floor(e.target) - e.epochs * e.source_size
+                 - coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY -ln(d.u) / d.w, d.doc_id
+                            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room
+          FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
+    SELECT doc_id, size, source_size::BIGINT AS source_size, target,
+           (epochs * size + greatest(0, least(size, room)))::BIGINT AS taken FROM p"""
+
+
+@query("op2_mix_sources", MIX_SQL)
+def op2_mix_sources(spark, sf_dir):
+    return mixing.mix(read(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "source_size", "target", "taken")
+
+
 @query("op3_simhash")
 def op3_simhash(spark, sf_dir):
     return simhash.simhash_components(read(spark, sf_dir, "documents"))
@@ -44,6 +88,58 @@ def op4_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
 
+@query("op5_line_dedup")
+def op5_line_dedup(spark, sf_dir):
+    return linededup.line_classes(read(spark, sf_dir, "documents"))
+
+
+@query("op6_imatch_fingerprints")
+def op6_imatch_fingerprints(spark, sf_dir):
+    return imatch.edited_neighbours(read(spark, sf_dir, "documents"))
+
+
+@query("op7_url_rules", r"""
+    WITH p AS (
+      SELECT page_id, coalesce(url, '') AS u, lower(coalesce(url, '')) AS low,
+             translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'),
+                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path FROM pages),
+    r AS (
+      SELECT page_id, host, path, low, CASE
+        WHEN host SIMILAR TO '(.*\.)?example\.org' AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+        WHEN host SIMILAR TO '(.*\.)?example\.org' AND starts_with(path, '/es/') THEN 'example.org/es/'
+        WHEN host SIMILAR TO '(.*\.)?com' AND starts_with(path, '/de/') THEN 'com/de/'
+        WHEN host SIMILAR TO '(.*\.)?com' AND starts_with(path, '/fr/') THEN 'com/fr/'
+        WHEN host SIMILAR TO '(.*\.)?org' AND starts_with(path, '/') THEN 'org/' END AS rule
+      FROM p)
+    SELECT page_id, host, path, rule, CASE
+      WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+      WHEN regexp_matches(low, '^[^:/?#]*://([^/?#]*\.)?spam-farm\..*/appeal([^a-z0-9_.%-]|$)')
+        OR regexp_matches(low, '/robots\.txt$') THEN 'allow'
+      WHEN regexp_matches(low, '^[^:/?#]*://([^/?#]*\.)?((ads-track|adult-x|casino-win|cheap-pills|free-bets|spam-farm)\.|doubleclick\.net([^a-z0-9_.%-]|$))')
+        OR regexp_matches(low, '/adserver/|/banner/.*/img([^a-z0-9_.%-]|$)|/popunder\.|[^a-z0-9_.%-]affiliate_id=|[^a-z0-9_.%-]clickid=.*[^a-z0-9_.%-]sub=|\.exe$')
+        THEN 'block' ELSE 'allow' END AS verdict FROM r""".replace("\\\\", "\\"))
+def op7_url_rules(spark, sf_dir):
+    return urlrules.filter_urls(read(spark, sf_dir, "pages")).drop("pattern")
+
+
+@query("op8_warc", """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+    f AS (SELECT *, strlen(body) AS payload_bytes, sha256(body) AS payload_digest,
+                 min(page_id) OVER (PARTITION BY body) AS first FROM p)
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to FROM f""")
+def op8_warc(spark, sf_dir):
+    return warc.archive_round_trip(read(spark, sf_dir, "pages")).drop("payload")
+
+
+@query("op9_rans_token_files")
+def op9_rans_token_files(spark, sf_dir):
+    back = rans.token_files(read(spark, sf_dir, "documents"))
+    return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 @query("op10_bpe_chunk_reuse")
 def op10_bpe_chunk_reuse(spark, sf_dir):
     return bpe.digests(read(spark, sf_dir, "documents"))
