@@ -48,10 +48,11 @@ LEXICON_TERMS = 4_000       # most terms of a lexicon, by z-score
 MIN_LOG_ODDS, MIN_Z, MIN_TOXIC = 2.5, 2.5, 3
 STEM_LETTERS = (3, 4, 5, 6)
 THRESHOLD = 0.7
-TREES, DEPTH, STEP = 24, 3, 0.2
+TREES, DEPTH, STEP = 20, 4, 0.25
 RAW_SHARE = 0.02            # of the trees' own probability in the score
 NEAR_WORDS = 5
 SCORE = "__score"
+COUNTS = ("clean_0", "toxic_0", "clean_1", "toxic_1")
 FEATURES = ("hit_density", "weighted_density", "strongest", "hits", "near_you", "you_density", "capitals",
             "capital_words", "exclaims", "questions", "punctuation", "obfuscated", "repeats", "digits",
             "length")
@@ -74,29 +75,37 @@ def word_terms(words: set[str]) -> set[str]:
     return out
 
 
-def lexicon(rows: DataFrame) -> dict[str, float]:
-    """Terms of toxic texts and their log-odds, from ``(text, toxic)``."""
+def term_counts(rows: DataFrame) -> DataFrame:
+    """``(term, clean_0, toxic_0, clean_1, toxic_1)``: how many texts of each
+    half (column ``half``) and label hold a term, for terms of toxic texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = (Counter(), Counter())
+        held = [Counter() for _ in range(4)]
         for b in batches:
-            for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                held[int(y)].update(word_terms(set(_WORD.findall(t.lower()))))
-        keys = list(held[0].keys() | held[1].keys())
+            for t, y, half in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                held[2 * half + int(y)].update(word_terms(set(_WORD.findall(t.lower()))))
+        keys = list(set().union(*held))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(keys, pa.string()), pa.array([held[0][k] for k in keys], pa.int64()),
-             pa.array([held[1][k] for k in keys], pa.int64())], names=["term", "clean", "toxic"])
+            [pa.array(keys, pa.string()), *[pa.array([h[k] for k in keys], pa.int64()) for h in held]],
+            names=["term", *COUNTS])
 
-    sizes = {int(r["toxic"]): r["count"] for r in rows.groupBy("toxic").count().collect()}
-    clean, toxic = sizes.get(0, 0), sizes.get(1, 0)
-    if not clean or not toxic:
+    fields = ", ".join(f"{c} long" for c in COUNTS)
+    return (map_arrow(rows.select("text", "toxic", "half"), run, f"term string, {fields}")
+            .groupBy("term").agg(*[F.sum(c).alias(c) for c in COUNTS])
+            .where(F.col("toxic_0") + F.col("toxic_1") >= MIN_TOXIC))
+
+
+def lexicon(counts: DataFrame, sizes: dict[tuple[int, int], int], halves: tuple[int, ...]) -> dict[str, float]:
+    """Terms of toxic texts and their log-odds, over the given halves."""
+    all_clean = sum(sizes.get((h, 0), 0) for h in halves)
+    all_toxic = sum(sizes.get((h, 1), 0) for h in halves)
+    if not all_clean or not all_toxic:
         return {}
-    counts = map_arrow(rows.select("text", "toxic"), run, "term string, clean long, toxic long").groupBy(
-        "term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where(
-        F.col("toxic") >= MIN_TOXIC)
-    odds = F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (clean + 1.0))
-    error = F.sqrt(1.0 / (F.col("toxic") + 0.5) + 1.0 / (F.col("clean") + 0.5))
-    best = (counts.withColumn("odds", odds).withColumn("z", odds / error)
+    clean = sum((F.col(f"clean_{h}") for h in halves), F.lit(0))
+    toxic = sum((F.col(f"toxic_{h}") for h in halves), F.lit(0))
+    odds = F.log((toxic + 0.5) / (all_toxic + 1.0)) - F.log((clean + 0.5) / (all_clean + 1.0))
+    error = F.sqrt(1.0 / (toxic + 0.5) + 1.0 / (clean + 0.5))
+    best = (counts.where(toxic >= MIN_TOXIC).withColumn("odds", odds).withColumn("z", odds / error)
             .where((F.col("odds") >= MIN_LOG_ODDS) & (F.col("z") >= MIN_Z))
             .orderBy(F.desc("z"), "term").limit(LEXICON_TERMS))
     return {r["term"]: r["odds"] for r in best.collect()}
@@ -105,6 +114,8 @@ def lexicon(rows: DataFrame) -> dict[str, float]:
 class Featurizer:
     def __init__(self, lexicon: dict[str, float]):
         self.weights = lexicon
+        # Three leading letters that some entry begins with: most words end here.
+        self.starts = {t.rstrip("~")[:3] for t in lexicon}
 
     def weight(self, word: str) -> float:
         """The strongest lexicon entry among the word and its beginnings."""
@@ -121,7 +132,8 @@ class Featurizer:
         n = max(len(words), 1)
         odd = _OBFUSCATED.findall(text)
         plain = [w.lower().translate(_PLAIN_LETTERS) for w in odd]
-        hits = {w: x for w in set(words).union(plain) if (x := self.weight(w))}
+        starts = self.starts
+        hits = {w: x for w in set(words).union(plain) if w[:3] in starts and (x := self.weight(w))}
         found = [(i, hits[w]) for i, w in enumerate(words) if w in hits] if hits else []
         found += [(-1 - NEAR_WORDS - i, hits[w]) for i, w in enumerate(plain) if w in hits]
         you = np.array([i for i, w in enumerate(words) if w in SECOND_PERSON])
@@ -199,17 +211,23 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, max_rows: int = MAX_T
     base = sizes.get(1, 0) / max(sum(sizes.values()), 1)
     if len(sizes) < 2:
         return Scorer({}, None, None, base)
-    first, second = rows.where("fold < 4"), rows.where("fold between 4 and 7")
+    built = rows.where("fold < 8").withColumn("half", (F.col("fold") % 2).cast("int"))
     spare = rows.where("fold >= 8")
-    kept = ("toxic", "fold")
-    crossed = with_features(first, lexicon(second), kept).unionByName(
-        with_features(second, lexicon(first), kept))
-    words = lexicon(rows.where("fold < 8"))
-    if crossed.select("toxic").distinct().count() < 2:
+    each = {(r["half"], r["toxic"]): r["count"] for r in built.groupBy("half", "toxic").count().collect()}
+    if {(h, y) for h in (0, 1) for y in (0, 1)} - set(each):
         return Scorer({}, None, None, base)
+    counts = stage(term_counts(built), "toxicity-terms")
+    kept = ("toxic", "fold")
+    crossed = with_features(built.where("half = 0"), lexicon(counts, each, (1,)), kept).unionByName(
+        with_features(built.where("half = 1"), lexicon(counts, each, (0,)), kept))
+    words = lexicon(counts, each, (0, 1))
+    # The sample is bounded; a few partitions spare the many small jobs of the
+    # boosting most of their tasks.
+    few = max(1, min(8, max_rows // 20_000))
+    made = stage(crossed.unionByName(with_features(spare, words, kept)), "toxicity-features").coalesce(few)
     trees = GBTClassifier(labelCol="toxic", maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=1,
-                          maxBins=64, minInstancesPerNode=4).fit(crossed)
-    held = _with_probability(trees, with_features(spare, words, kept)).select(
+                          maxBins=64, minInstancesPerNode=4).fit(made.where("fold < 8"))
+    held = _with_probability(trees, made.where("fold >= 8")).select(
         F.col("raw"), F.col("toxic").cast("double").alias("label"))
     # Two anchors keep the curve defined (and 0 to 1) however few spare rows there are.
     anchors = rows.sparkSession.createDataFrame([(0.0, 0.0), (1.0, 1.0)], "raw double, label double")
