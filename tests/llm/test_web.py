@@ -1,0 +1,117 @@
+"""URL rules and WARC archives."""
+
+import glob
+import hashlib
+import random
+import re
+
+import pytest
+import zstandard
+
+from tillroll.llm import urlrules as U
+from tillroll.llm import warc as W
+
+URLS = [None, "", "nothing", "://", "http://", "http://Example.ORG/es/1", "http://a.example.org/es/x?q#f",
+        "http://badexample.org/es/", "https://example.org/en/1", "https://example.org/en/12?x",
+        "https://example.org/en/2", "http://x.com/fr/", "http://x.com/de/a", "http://x.com/DE/a", "http://com/de/",
+        "http://x.com/es/", "http://x.com", "http://x.org", "http://x.org/", "http://org?x=/", "ftp://a.net/a.exe",
+        "http://ads-track.example.net/x", "http://my.ads-track.net/", "http://xads-track.net/",
+        "http://spam-farm.net/en/appeal", "http://spam-farm.net/en/appeals", "http://a.net/?affiliate_id=3",
+        "http://a.net/?clickid=3&sub=4", "http://a.net/?clickid=3", "http://a.net/banner/x/img", "http://a.net/robots.txt",
+        "http://ads-track.a.net/robots.txt", "HTTP://ADS-TRACK.NET/", "http://u:p@h.com:80/fr/x", "a://b://c/d",
+        "http://ü.com/fr/ä", "http://doubleclick.net", "http://x.net/" + "y" * 50_000]
+
+
+def plain(url):
+    """The rules one after another, without an index."""
+    url = url or ""
+    rest = url.split("://", 1)[1] if "://" in url else None
+    host = path = ""
+    if rest is not None:
+        rest = re.split("[?#]", rest)[0]
+        host, slash, path = rest.partition("/")
+        host, path = "".join(c.lower() if c.isascii() else c for c in host), slash + path
+    fits = [(len(h + p), len(h), v == "block", h + p, v) for v, h, p in U.HOST_RULES
+            if rest is not None and (host == h or host.endswith("." + h)) and path.startswith(p)]
+    hits = [r for r in map(U.pattern_rule, U.PATTERN_RULES) if re.search(r.regex, url.lower())]
+    blocked = any(r.verdict == "block" for r in hits) and not any(r.verdict == "allow" for r in hits)
+    if fits:
+        return host, path, max(fits)[3], max(fits)[4]
+    return host, path, None, "block" if blocked else "allow"
+
+
+def test_index_gives_what_all_rules_give(spark):
+    rng = random.Random(1)
+    bits = ["http://", "ads-track", ".", "/", "robots", "txt", "com", "org", "example", "fr", "de", "banner", "img",
+            "clickid=", "sub=", "?", "&", "-", "exe", "spam-farm", "appeal", "1", "en", "es"]
+    urls = URLS + ["".join(rng.choice(bits) for _ in range(rng.randint(1, 12))) for _ in range(1500)]
+    urls += ["http://" + "".join(rng.choice(bits[1:]) for _ in range(8)) for _ in range(1500)]
+    df = spark.createDataFrame([(i, u, "c") for i, u in enumerate(urls)], "page_id long, url string, host string")
+    got = U.filter_urls(df.repartition(3)).collect()
+    assert len(got) == len(urls)
+    for r in got:
+        assert (r.host, r.path, r.rule, r.verdict) == plain(urls[r.page_id]), urls[r.page_id]
+
+
+def test_rules_are_filed_under_their_rarest_token():
+    rules = U.default_rules()
+    index = U.RuleIndex(rules, {"example": 900, "org": 1000, "es": 5, "com": 700, "fr": 9, "de": 8, "en": 2000})
+    assert {r.name for r, _ in index.by_token["es"]} == {"example.org/es/"}
+    assert {r.name for r, _ in index.by_token["fr"]} == {"com/fr/"}
+    assert "1" not in U.host_rule("block", "example.org", "/en/1").tokens
+    assert all(r.tokens for r in rules)
+
+
+def test_urls_of_an_empty_table_and_repeated_ids(spark):
+    df = spark.createDataFrame([(None, None), (1, "http://a.org/"), (1, "http://a.org/")], "page_id long, url string")
+    assert sorted((repr(r.page_id), r.verdict, repr(r.rule)) for r in U.filter_urls(df).collect()) == [
+        ("1", "allow", "'org/'"), ("1", "allow", "'org/'"), ("None", "allow", "None")]
+    assert U.filter_urls(df.limit(0)).count() == 0
+
+
+def pages(n=60):
+    rng = random.Random(2)
+    rows = [(i, f"http://h/{i}", "<p>" + " ".join(f"w{rng.randint(0, 90)}" for _ in range(rng.randint(1, 80))) + "é</p>")
+            for i in range(n)]
+    rows += [(200 - i, f"http://c/{i}", "same " * 40) for i in range(7)]
+    rows += [(300 + i, None, "short") for i in range(3)]
+    rows += [(400, "http://x/\r\nEvil: 1", None), (401, "", ""), (402, "http://big/", "z" * 3_000_000),
+             (403, "http://b/", "x" * 99), (404, "http://b/", "x" * 99), (405, "http://b/", "x" * 100),
+             (406, "http://b/", "x" * 100), (None, "http://n/", "same " * 40), (407, "\r\n\r\nWARC/1.1", "\r\n\r\nWARC/1.1" * 9)]
+    return rows
+
+
+@pytest.mark.parametrize("size", [20_000, W.ARCHIVE_BYTES])
+def test_archives_round_trip(spark, tmp_path, size):
+    rows, out = pages(), str(tmp_path / "warc")
+    df = spark.createDataFrame([(*r, "c") for r in rows], "page_id long, url string, html string, digest string")
+    W.write_archives(df.repartition(3), out, archive_bytes=size)
+    got = W.read_archives(spark, out).collect()
+    first = {}
+    for i, _, html in rows:
+        if i is not None:
+            first[html or ""] = min(first.get(html or "", i), i)
+    want = []
+    for i, _, html in rows:
+        body = (html or "").encode()
+        keeps = len(body) < 100 or i == first.get(html or "")
+        want.append((repr(i), len(body), hashlib.sha256(body).hexdigest(), "response" if keeps else "revisit",
+                     repr(None if keeps else first[html or ""]), body if keeps else None))
+    assert sorted(map(repr, want)) == sorted(repr((repr(r.page_id), r.payload_bytes, r.payload_digest, r.record_type,
+                                                  repr(r.refers_to), None if r.payload is None else bytes(r.payload)))
+                                             for r in got)
+    files = [open(f, "rb").read() for f in glob.glob(out + "/part-*")]
+    files = [f for f in files if f]
+    assert len(files) > 1 or size > 20_000
+    for data in files:
+        assert data[:4] == W.DICTIONARY_MAGIC and data.endswith(W.SEPARATOR)
+        # Any Zstandard reader that has the dictionary reads the whole file.
+        held = data[8:8 + int.from_bytes(data[4:8], "little")]
+        reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(held))
+        whole = reader.stream_reader(data, read_across_frames=True).read()
+        assert whole.count(b"WARC/1.1\r\nWARC-Type") == len(list(W.read_archive(data)))
+
+
+def test_no_pages(spark):
+    df = spark.createDataFrame([], "page_id long, url string, html string")
+    assert W.archive_round_trip(df).count() == 0
