@@ -8,26 +8,26 @@ from tillroll.operators.impute import Target, hierarchical_impute
 SCHEMA = "id int, a string, b string, x decimal(18,2)"
 
 
-def run(spark, rows, scale=2, fallback=Decimal("99"), split=True, one_pass=False):
+def run(spark, rows, scale=2, fallback=Decimal("99"), split=True):
     df = spark.createDataFrame(rows, SCHEMA)
     t = Target("x", scale, "ix", F.lit(fallback).cast("decimal(18,2)"), flag="fl", level_col="lv")
-    out = hierarchical_impute(df, [t], [["a"], ["b"]], ["by_a", "by_b"], split_missing=split,
-                              one_pass=one_pass)
+    out = hierarchical_impute(df, [t], [["a"], ["b"]], ["by_a", "by_b"], split_missing=split)
     return {r.id: (r.ix, r.fl, r.lv) for r in out.collect()}
 
 
-@pytest.mark.parametrize("split,one_pass", [(True, False), (False, False), (True, True)])
-def test_fall_through_rules(spark, split, one_pass):
+@pytest.mark.parametrize("split", [True, False])
+def test_fall_through_rules(spark, split):
     rows = [
         (1, "p", "q", None), (2, "p", "q", Decimal("4")),          # level a mean 4 -> 1 gets 4
         (3, "n", "q", None), (4, "n", "q", None),                   # a all NULL -> level b
         (5, "z", "w", Decimal("0")), (6, "z", "w", Decimal("0")),   # a mean 0, b mean 0 -> fallback
         (7, "t", "v", Decimal("0.01")), (8, "t", "v", Decimal("0")),  # mean 0.005 -> 0.01 usable
-        (9, "u", "s", Decimal("0.004")), (10, "u", "s", None),      # mean 0.004 -> 0.00 unusable
+        (9, "u", "s", Decimal("0.01")), (10, "u", "s", None),       # mean (0.01 + 0 + 0) / 3 -> 0.00
+        (14, "u", "s", Decimal("0")), (15, "u", "s", Decimal("0")),
         (11, None, "k", Decimal("6")), (12, None, "k", None),       # NULL key is a group
         (13, "m", "r", Decimal("-2")),                               # negative is a present value
     ]
-    got = run(spark, rows, split=split, one_pass=one_pass)
+    got = run(spark, rows, split=split)
     assert got[1] == (Decimal("4.00"), "yes", "by_a")
     assert got[2] == (Decimal("4.00"), "no", "own")
     assert got[3][2] == "by_b" and got[3][0] == Decimal("4.00")    # b='q': mean of 4

@@ -75,3 +75,38 @@ def test_grouped_series_with_own_scales(spark):
     assert got["a"] == brute(a, 2)
     assert got["b"] == brute(b, 0)
     assert got.get("c") is None            # one value: no rank qualifies
+
+
+def test_one_huge_value_leaves_the_ranked_rows_few(spark):
+    """Distinct values are ranked only near the middle, however they are spread."""
+    n = 200_000
+    df = spark.range(n).select((F.col("id") + 1).cast("decimal(24,6)").alias("x")).unionByName(
+        spark.range(1).select(F.lit(10 ** 12).cast("decimal(24,6)").alias("x")))
+    got = lower_half_median(df, "x", buckets=2000)
+    assert got.first()[0] == Decimal(n // 2) - Decimal("0.5")
+    plan = got._jdf.queryExecution()
+    got.collect()
+    text = plan.executedPlan().toString()
+    assert "BroadcastNestedLoopJoin" not in text and "CartesianProduct" not in text
+    sizes = []
+
+    def walk(node):
+        name = node.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            return walk(node.executedPlan())
+        if name.endswith("QueryStage"):
+            return walk(node.plan())
+        if name == "Window":
+            sizes.append(node.child())
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+    walk(plan.executedPlan())
+    assert sizes
+    lo, hi = n // 2 - 3 * (n // 2000) * 2, n // 2 + 3 * (n // 2000) * 2
+    ranked = df.where((F.col("x") >= lo) & (F.col("x") <= hi)).count()
+    assert ranked < n // 100
+
+
+def test_exact_median_in_registry(spark):
+    from tillroll.plans import catalog
+    assert catalog.REGISTRY["median_exact"](spark, "/root/testdata/sf0.001").count() == 1

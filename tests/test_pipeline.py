@@ -3,8 +3,6 @@
 import datetime as dt
 from decimal import Decimal
 
-import pytest
-
 from tillroll.plans import pipeline as P
 
 
@@ -31,9 +29,8 @@ def inputs(spark):
     return P.Inputs(receipts, customers, retailers, brands, details, items)
 
 
-@pytest.mark.parametrize("stage", [True, False])
-def test_duplicate_receipt_ids_fan_out_and_means_use_joined_rows(spark, stage):
-    p = P.Params(clean=False, as_of="2001-03-01", stage_joined=stage)
+def test_duplicate_receipt_ids_fan_out_and_means_use_joined_rows(spark):
+    p = P.Params(clean=False, as_of="2001-03-01")
     c = P.clean_stage(inputs(spark), p)
     out = P.final_output(c, p).collect()
     # r1 appears twice: i1 -> 2 (J2) x 2 (J3) = 4 rows; i2, i3 -> 1 row each
@@ -59,19 +56,76 @@ def test_run_writes_and_rereads(spark, tmp_path):
     assert any(f.endswith(".csv") for f in __import__("os").listdir(tmp_path / "csv"))
 
 
-def test_staged_split_plan_equals_plain_plan(spark):
-    """Forced staging (+ complete/incomplete split) gives the same rows."""
-    from dataclasses import replace
-    sf = "/root/testdata/sf0.001"
-    base = replace(P.FIXTURE_PARAMS, stage_joined=False)
-    staged = replace(P.FIXTURE_PARAMS, stage_joined=True, split_missing=True)
-    a = P.final_output(P.clean_stage(P.Inputs.from_fixtures(spark, sf), base), base)
-    b = P.final_output(P.clean_stage(P.Inputs.from_fixtures(spark, sf), staged), staged)
+def test_staged_run_equals_the_lazy_plan_and_leaves_nothing(spark, tmp_path):
+    """Stored cleaned and joined tables give the same rows; the run folder goes."""
+    import os
+    sf, p = "/root/testdata/sf0.001", P.FIXTURE_PARAMS
+    a = P.final_output(P.clean_stage(P.Inputs.from_fixtures(spark, sf), p), p)
+    b = P.run(spark, P.Inputs.from_fixtures(spark, sf), str(tmp_path / "final"), p)
     assert a.count() == b.count() > 0
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
-    ia = P.impute_items(P.clean_stage(P.Inputs.from_fixtures(spark, sf), base), base, levels=True)
-    ib = P.impute_items(P.clean_stage(P.Inputs.from_fixtures(spark, sf), staged), staged, levels=True)
-    assert ia.exceptAll(ib).count() == 0 and ib.exceptAll(ia).count() == 0
+    from tillroll.session import ensure_checkpoint_dir
+    base = ensure_checkpoint_dir(spark).removeprefix("file:")
+    assert not [x for x in os.listdir(base) if x.startswith("tillroll-run-")]
+
+
+def test_second_run_replaces_the_first(spark, tmp_path):
+    p, out = P.Params(clean=False, as_of="2001-03-01"), str(tmp_path / "final")
+    for _ in range(2):
+        got = P.run(spark, inputs(spark), out, p, csv_out=str(tmp_path / "csv"))
+        assert got.count() == 6
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 6
+
+
+def test_split_missing_rows_give_the_same_table(spark):
+    from tillroll.operators import impute
+    sf, p = "/root/testdata/sf0.001", P.FIXTURE_PARAMS
+    c = P.clean_stage(P.Inputs.from_fixtures(spark, sf), p)
+    whole = P.impute_items(c, p, levels=True)
+    split = impute.hierarchical_impute(P.joined_items(c), P.item_targets(c, p, True), p.item_levels,
+                                       p.item_level_names, split_missing=True)
+    assert whole.exceptAll(split).count() == 0 and split.exceptAll(whole).count() == 0
+
+
+def test_more_decimals_than_money_are_kept(spark):
+    """A price of 0.004 is present: it stays, unflagged, and is not imputed."""
+    src = inputs(spark)
+    items = spark.createDataFrame([("i1", "0.004", "0.453"), ("i2", "40", "1"), ("i3", "(null)", "0")],
+                                  "receipt_item_id string, price string, quantity string")
+    from tillroll.operators import clean
+    src = P.Inputs(src.receipts, src.customers, src.retailers, src.brands, src.details,
+                   clean.clean_items(items))
+    p = P.Params(clean=False, as_of="2001-03-01")
+    row = [r for r in P.final_output(P.clean_stage(src, p), p).collect() if r.receipt_item_id == "i1"][0]
+    assert row.price == Decimal("0.004") and row.flag_price_imputed == "no"
+    assert row.quantity == Decimal("0.453") and row.flag_qty_imputed == "no"
+
+
+def jobs_started(spark, fn) -> int:
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("counted", "counted")
+    try:
+        fn()
+        return len(tracker.getJobIdsForGroup("counted"))
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+
+
+def test_queries_clean_only_the_tables_they_read(spark, monkeypatch):
+    from tillroll.operators import outliers
+    from tillroll.plans import catalog
+    sf, seen = "/root/testdata/sf0.001", []
+    catalog.REGISTRY["sigma_total"](spark, sf), catalog.REGISTRY["sigma_price"](spark, sf)
+    real = outliers.remove_outliers
+    monkeypatch.setattr(outliers, "remove_outliers",
+                        lambda df, col, *a: seen.append(col) or real(df, col, *a))
+    catalog.REGISTRY["mean_total_retailer"](spark, sf)
+    assert seen == ["total_price"]
+    seen.clear()
+    catalog.REGISTRY["customer_age"](spark, sf)
+    catalog.REGISTRY["median_qty"](spark, sf)
+    assert seen == ["price"]
+    assert jobs_started(spark, lambda: catalog.REGISTRY["hour_counts"](spark, sf)) <= 1
 
 
 def test_result_independent_of_partition_count(spark):

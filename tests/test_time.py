@@ -23,3 +23,19 @@ def test_mst_shift_is_session_independent(spark):
             assert df.select(expr).first().m == dt.datetime(2016, 8, 31, 20, 0)
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_repeated_local_hours_stay_apart(spark):
+    """Both hours that New York repeats on 2016-11-06, whatever the session zone."""
+    df = spark.createDataFrame([(dt.datetime(2016, 11, 6, 5, 30),), (dt.datetime(2016, 11, 6, 6, 30),),
+                                (dt.datetime(2016, 3, 13, 10, 30),)], "t timestamp_ntz")
+    expr = wallclock_at_offset(instant_from_utc_wallclock("t"), "-07:00").alias("m")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for tz in ("UTC", "America/New_York", "America/Denver"):
+            spark.conf.set("spark.sql.session.timeZone", tz)
+            assert [r.m for r in df.select(expr).collect()] == [
+                dt.datetime(2016, 11, 5, 22, 30), dt.datetime(2016, 11, 5, 23, 30),
+                dt.datetime(2016, 3, 13, 3, 30)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)

@@ -14,8 +14,11 @@ from decimal import Decimal
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Storage type of money and quantities after the strict numeric cast.
-DEC = "decimal(18,2)"
+# Storage type of money and quantities after the strict numeric cast: wide
+# enough that no digit of a price or quantity is lost; values with more
+# decimals than SCALE fail the cast instead of being cut.
+PRECISION, SCALE = 24, 6
+DEC = f"decimal({PRECISION},{SCALE})"
 
 
 def _c(c: Column | str) -> Column:
@@ -58,8 +61,3 @@ def rounded_ratio_pct(part: Column | str, whole: Column | str, scale: int = 2) -
     p, w = _c(part), _c(whole)
     units = rounded_units(p.cast("decimal(38,0)") * 100, w, scale)
     return units.cast("double") / float(10 ** scale)
-
-
-def to_double(c: Column | str) -> Column:
-    """Decimal to double at the query boundary (nearest double to the value)."""
-    return _c(c).cast("double")

@@ -13,19 +13,26 @@ def _c(c: Column | str) -> Column:
 
 
 def instant_from_utc_wallclock(ntz: Column | str) -> Column:
-    """A timestamp_ntz read as UTC wall-clock time -> timestamp (instant)."""
-    local = F.convert_timezone(F.lit("UTC"), F.current_timezone(), _c(ntz).cast("timestamp_ntz"))
-    return local.cast("timestamp")
+    """A timestamp_ntz read as UTC wall-clock time -> timestamp (instant).
+
+    The text carries its own zone, so the session zone plays no part."""
+    text = F.concat(_c(ntz).cast("timestamp_ntz").cast("string"), F.lit("Z"))
+    return text.cast("timestamp")
 
 
 def wallclock_at_offset(instant: Column | str, zone: str = "-07:00") -> Column:
     """``ts AT TIME ZONE zone``: the wall-clock time (timestamp_ntz) in ``zone``.
 
-    The instant is first rendered in the session zone, then converted, so the
-    result does not depend on the session setting.
+    The instant's own microseconds are added to the UTC epoch and shifted from
+    there. No wall-clock time of the session zone occurs on the way, so hours
+    that a daylight-saving change repeats or skips there stay apart.
     """
-    wall = _c(instant).cast("timestamp_ntz")
-    return F.convert_timezone(F.current_timezone(), F.lit(zone), wall)
+    seconds = (F.unix_micros(_c(instant)).cast("decimal(20,0)") / F.lit(1000000).cast("decimal(7,0)")
+               ).cast("decimal(18,6)")
+    zero = F.lit(0)
+    since = F.make_dt_interval(zero, zero, zero, seconds)
+    utc = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + since
+    return F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)
 
 
 def completed_years(birth: Column | str, as_of: str | _dt.date) -> Column:
@@ -37,8 +44,3 @@ def completed_years(birth: Column | str, as_of: str | _dt.date) -> Column:
     """
     day = as_of if isinstance(as_of, _dt.date) else _dt.date.fromisoformat(as_of)
     return F.timestamp_diff("YEAR", _c(birth), F.lit(day))
-
-
-def monday_weekday(ts: Column | str) -> Column:
-    """Day of week with Monday = 0 ... Sunday = 6 (pandas ``dt.dayofweek``)."""
-    return F.weekday(_c(ts))

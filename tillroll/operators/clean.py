@@ -11,8 +11,9 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillroll.functions.numeric import PRECISION, SCALE
 from tillroll.sources.fixtures import NULL_TOKEN
-from tillroll.sources.schemas import SENTINEL_COLUMNS
+from tillroll.sources.schemas import CHAR_WIDTHS, SENTINEL_COLUMNS
 
 # Fixed values of the reference's cleaning rules.
 EDUCATION_NONE = "none"
@@ -35,14 +36,23 @@ def recode(df: DataFrame, col: str, mapping: Mapping[str, str | None]) -> DataFr
     return df if expr is None else df.withColumn(col, expr.otherwise(c))
 
 
-def to_decimal(df: DataFrame, cols: Iterable[str], precision: int = 18, scale: int = 2,
-               lenient: bool = False) -> DataFrame:
+def to_decimal(df: DataFrame, cols: Iterable[str], precision: int = PRECISION,
+               scale: int = SCALE, lenient: bool = False) -> DataFrame:
     """C4: string -> decimal. Strict by default: malformed text fails the job
-    (ANSI cast), as the reference's ``::numeric``; ``lenient`` yields NULL."""
-    t = f"decimal({precision},{scale})"
-    if lenient:
-        return df.withColumns({c: F.expr(f"try_cast(`{c}` as {t})") for c in cols})
-    return df.withColumns({c: F.col(c).cast(t) for c in cols})
+    (ANSI cast), as the reference's ``::numeric``, and so does a value with
+    more decimals than the storage keeps; ``lenient`` yields NULL for both."""
+    t, wide = f"decimal({precision},{scale})", f"decimal(38,{min(2 * scale + 6, 38 - precision + scale)})"
+
+    def strict(c: str) -> Column:
+        kept = F.col(c).cast(t)
+        return F.when(F.col(c).cast(wide) == kept, kept).when(F.col(c).isNull(), F.lit(None)).otherwise(
+            F.raise_error(F.concat(F.lit(f"{c}: more than {scale} decimals in "), F.col(c))).cast(t))
+
+    def tolerant(c: str) -> Column:
+        kept, full = F.expr(f"try_cast(`{c}` as {t})"), F.expr(f"try_cast(`{c}` as {wide})")
+        return F.when(full == kept, kept)
+
+    return df.withColumns({c: tolerant(c) if lenient else strict(c) for c in cols})
 
 
 def pad_char(df: DataFrame, col: str, n: int) -> DataFrame:
@@ -80,10 +90,17 @@ def clean_details(raw: DataFrame) -> DataFrame:
     return null_if_token(raw, SENTINEL_COLUMNS["receipt_item_details"])
 
 
+def pad_declared(df: DataFrame, table: str) -> DataFrame:
+    """C8 for every ``char(n)`` column that the table declares."""
+    for col, width in CHAR_WIDTHS.get(table, {}).items():
+        df = pad_char(df, col, width)
+    return df
+
+
 def clean_customers(df: DataFrame) -> DataFrame:
-    """C2 + C8: education 'none' -> NULL, gender stored as char(1)."""
+    """C2 + C8: education 'none' -> NULL; gender char(1), state char(2)."""
     df = recode(df, "education", {EDUCATION_NONE: None})
-    return pad_char(df, "gender", 1)
+    return pad_declared(df, "customers")
 
 
 def clean_brands(df: DataFrame) -> DataFrame:

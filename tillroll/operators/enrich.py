@@ -6,11 +6,9 @@ Join order is chosen for shuffles, not copied from the reference text:
   are large x large inner joins (sort-merge unless AQE finds a small side).
 * J3 (x new_receipts on the same receipt_id) follows J2 directly, so the
   item side is already hash-partitioned by receipt_id and is not shuffled
-  again; only the receipt side is. Each receipt row carries its copy number
-  among rows with the same id (``__copy``, a window over the same id
-  partitioning, so no extra shuffle): rows with ``__copy = 1`` are exactly
-  the J2 rows, which the group means are computed over, even when duplicate
-  receipt ids fan J3 out.
+  again; only the receipt side is. The group means are taken over the J2
+  rows by an aggregate of their own, so duplicate receipt ids, which fan J3
+  out, leave them alone. Receipts without id can match nothing and stay out.
 * J4 (customers) and J5 (retailers) are keyed on receipt columns, so they
   are applied to the receipt table before J3 - left joins are associative
   here because their conditions only read receipt and dimension columns.
@@ -21,7 +19,7 @@ Join order is chosen for shuffles, not copied from the reference text:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions.timecols import completed_years, wallclock_at_offset
@@ -60,13 +58,11 @@ def receipt_side(new_receipts: DataFrame, customers: DataFrame, retailers: DataF
     rt = retailers.select(F.col("id").alias("__rid"), "retailer_type")
     nr = new_receipts.select(
         F.col("id").alias("__nr_id"), "customer_id", F.col("retailer_id").alias("__nr_retailer"),
-        F.col("imputed_total_price").alias("total_price"), "created_at")
+        F.col("imputed_total_price").alias("total_price"), "created_at").where("__nr_id IS NOT NULL")
     out = (nr.join(c, nr.customer_id == c.__cid, "left")
              .join(rt, F.col("__nr_retailer") == rt.__rid, "left"))
-    copy = F.row_number().over(Window.partitionBy("__nr_id").orderBy(
-        "customer_id", "__nr_retailer", "created_at", "total_price"))
     return out.select(
-        "__nr_id", copy.alias("__copy"),
+        "__nr_id",
         F.col("__cid").alias("customer_id"), "gender",
         completed_years("birth_date", as_of).alias("age"), "education", "state",
         F.col("__nr_retailer").alias("nr_retailer_id"), "retailer_type", "total_price",
@@ -78,11 +74,6 @@ def attach_receipts(joined_items: DataFrame, receipts_wide: DataFrame) -> DataFr
     return joined_items.join(receipts_wide, F.col("receipt_id") == F.col("__nr_id"), "left")
 
 
-def first_copy() -> Column:
-    """Rows of the J3 output that correspond one-to-one to the J2 rows."""
-    return F.coalesce(F.col("__copy"), F.lit(1)) == 1
-
-
 def finish(items_wide: DataFrame, brands: DataFrame) -> DataFrame:
     """J6 + projection to the 20 final columns."""
     b = brands.select(F.col("id").alias("__bid"), F.col("name").alias("brand_name"))

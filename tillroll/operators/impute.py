@@ -11,13 +11,12 @@ mean over a hierarchy of keys, then a global median::
 where "usable" means neither NULL nor 0 *after rounding*. That CASE is
 ``coalesce(nullif(v, 0), nullif(mean1, 0), nullif(mean2, 0), ..., fallback)``.
 
-Plan: every level is a keyed aggregate (``sum`` and ``count`` per key, with
-map-side partial aggregation, so a hot key costs one row per task) that is
-joined back on the key with null-safe equality (a NULL key is one group, as
-in ``PARTITION BY``). Only rows with something missing are sent through the
-lookup joins; complete rows bypass them. Adaptive execution broadcasts a
-lookup that turns out small and splits skewed partitions of a large one.
-Compared with window functions this never moves whole rows per level.
+Plan: one aggregate over the keys of all levels holds sums and counts (with
+map-side partial aggregation, so a hot key costs one row per task); every level
+is a further aggregate of those few rows, joined back on its key with null-safe
+equality (a NULL key is one group, as in ``PARTITION BY``). Adaptive execution
+broadcasts a lookup that turns out small and splits skewed partitions of a
+large one. Compared with window functions this never moves whole rows per level.
 """
 
 from __future__ import annotations
@@ -67,60 +66,47 @@ class Target:
     level_col: str | None = None
 
 
-def _mean_cols(targets: list[Target], i: int) -> list[Column]:
-    return [F.nullif(exact_mean(F.sum(t.value), F.count(t.value), t.scale), F.lit(0))
-            .alias(f"__m{i}_{t.value}") for t in targets]
-
-
-def _finish_lookup(lk: DataFrame, keys: list[str], targets: list[Target], i: int) -> DataFrame:
-    # A key whose means are all unusable never fills anything: drop it so the
-    # lookup (and any broadcast of it) only holds useful keys.
-    usable = reduce(lambda a, b: a | b, [F.col(f"__m{i}_{t.value}").isNotNull() for t in targets])
-    return lk.where(usable).select(*[F.col(k).alias(f"__k{i}_{j}") for j, k in enumerate(keys)],
-                                   *[f"__m{i}_{t.value}" for t in targets])
+def additive_stats(df: DataFrame, levels: list[list[str]], targets: list[Target]) -> DataFrame:
+    """One aggregate over the keys of all levels: sum and count of every value.
 
+    Sums and counts add up exactly, so the means of every level follow from
+    these rows and the (joined) input is read once for all of them.
+    """
+    keys = list(dict.fromkeys(k for level in levels for k in level))
+    return df.groupBy(*keys).agg(
+        *[F.sum(t.value).alias(f"__s_{t.value}") for t in targets],
+        *[F.count(t.value).alias(f"__n_{t.value}") for t in targets])
 
-def level_lookups(stats: DataFrame, levels: list[list[str]], targets: list[Target],
-                  one_pass: bool = False) -> list[DataFrame]:
-    """Per level, ``keys -> usable rounded means`` of every target.
 
-    Default: one plain aggregate per level; each reads only its key and value
-    columns. ``one_pass`` instead builds one GROUPING SETS aggregate and
-    selects a level by ``grouping_id``. Measured: Catalyst pushes each
-    level's ``grouping_id = k`` filter below the aggregate (the id is a
-    grouping key), so every lookup re-runs the Expand (3x rows) and nothing is
-    shared - slower than the plain aggregates, hence off by default.
-    """
-    if not one_pass or len(levels) == 1:
-        return [_finish_lookup(stats.groupBy(*keys).agg(*_mean_cols(targets, i)), keys, targets, i)
-                for i, keys in enumerate(levels)]
-    cols = list(dict.fromkeys(k for keys in levels for k in keys))
-    aggs = [F.sum(t.value).alias(f"__s_{t.value}") for t in targets] + \
-        [F.count(t.value).alias(f"__n_{t.value}") for t in targets]
-    g = stats.groupingSets([list(keys) for keys in levels], *cols).agg(
-        *aggs, F.grouping_id().alias("__gid"))
+def level_lookups(stats: DataFrame, levels: list[list[str]], targets: list[Target]) -> list[DataFrame]:
+    """Per level, ``keys -> usable rounded means`` of every target, from
+    ``additive_stats``."""
     out = []
     for i, keys in enumerate(levels):
-        gid = sum(1 << (len(cols) - 1 - j) for j, c in enumerate(cols) if c not in keys)
-        means = [F.nullif(exact_mean(f"__s_{t.value}", f"__n_{t.value}", t.scale), F.lit(0))
-                 .alias(f"__m{i}_{t.value}") for t in targets]
-        lk = g.where(F.col("__gid") == gid).select(*keys, *means)
-        out.append(_finish_lookup(lk, keys, targets, i))
+        means = [F.nullif(exact_mean(F.sum(f"__s_{t.value}"), F.sum(f"__n_{t.value}"), t.scale),
+                          F.lit(0)).alias(f"__m{i}_{t.value}") for t in targets]
+        lk = stats.groupBy(*keys).agg(*means)
+        # A key whose means are all unusable never fills anything.
+        usable = reduce(lambda a, b: a | b, [F.col(f"__m{i}_{t.value}").isNotNull() for t in targets])
+        out.append(lk.where(usable).select(
+            *[F.col(k).alias(f"__k{i}_{j}") for j, k in enumerate(keys)],
+            *[f"__m{i}_{t.value}" for t in targets]))
     return out
 
 
 def hierarchical_impute(df: DataFrame, targets: list[Target], levels: list[list[str]],
                         level_names: list[str] | None = None,
                         stats_from: DataFrame | None = None,
-                        split_missing: bool = True, one_pass: bool = False) -> DataFrame:
+                        split_missing: bool = False) -> DataFrame:
     """Add ``t.out`` (+ ``t.flag``, ``t.level_col``) for every target.
 
     ``levels`` are key lists, most specific first. Group means come from
     ``stats_from`` (default ``df``): the reference computes its windows over
     the joined rows before later joins fan them out. With ``split_missing``
-    only rows that miss some target go through the lookup joins.
+    only rows that miss some target go through the lookup joins, at the price
+    of a second pass over ``df``: for stored tables.
     """
-    stats = df if stats_from is None else stats_from
+    stats = additive_stats(df if stats_from is None else stats_from, levels, targets)
     names = level_names or [",".join(k) for k in levels]
     any_missing = reduce(lambda a, b: a | b, [missing(t.value) for t in targets])
 
@@ -140,7 +126,7 @@ def hierarchical_impute(df: DataFrame, targets: list[Target], levels: list[list[
                 cols[t.level_col] = lvl.otherwise(FALLBACK)
         return frame.withColumns(cols)
 
-    lookups = level_lookups(stats, levels, targets, one_pass)
+    lookups = level_lookups(stats, levels, targets)
 
     def with_lookups(frame: DataFrame) -> DataFrame:
         for i, keys in enumerate(levels):

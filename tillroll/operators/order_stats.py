@@ -13,20 +13,18 @@ Spark form, without any single-task sort of the rows:
 1. ``hist``: ``groupBy(series, value).count()`` with map-side partial
    aggregation, so the shuffle carries distinct values, not rows, and a hot
    value costs one row per task.
-2. ``coarse``: per series the distinct values fall into ``buckets``
-   equal-width ranges of ``[min, max]``; a running count over at most
-   ``buckets`` rows per series finds the one or two buckets that hold ranks
-   ``m-1`` and ``m``.
-3. Only the distinct values of those buckets are ranked (a window
-   partitioned by series and bucket), giving exact ranks for the two
-   positions. A bucket holds at most (max - min) / buckets * 10^scale + 1
-   distinct decimal values, a bound set by the value range (prices are
-   capped before this runs), not by the row count.
-
-Several series (price, quantity, receipt total) run as one job.
-
-The values at the two ranks are combined with integer weights and rounded
-once (half away from zero).
+2. ``percentile_approx`` finds, in the same map-side combined way, two values
+   that enclose the wanted ranks: its rank error is at most n / accuracy, so
+   the quantiles ``MARGIN / accuracy`` to either side of the middle hold them for
+   certain, however the values are spread (one huge value among many small
+   ones moves nothing).
+3. Values below the lower one are only counted. The distinct values in
+   between, at most about ``2 * (MARGIN + 1) / accuracy`` of them, are ranked
+   exactly.
+
+Several series (price, quantity, receipt total) run as one job. The values at
+the two ranks are combined with integer weights and rounded once (half away
+from zero).
 """
 
 from __future__ import annotations
@@ -34,68 +32,94 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillroll.functions.numeric import exact_mean
+from tillroll.functions.numeric import DEC, exact_mean
 
-COARSE_BUCKETS = 4096
+ACCURACY = 20_000
+MARGIN = 3
+
+
+def _enclosing(accuracy: int) -> tuple[list[Column], Column, Column]:
+    """Aggregates of column ``v``, and from them the two enclosing values.
+
+    Below ``4 * accuracy`` rows the margin would be under two ranks; then all
+    values are ranked (few, by that bound).
+    """
+    low, high = (max(0.0, 0.5 - MARGIN / accuracy), min(1.0, 0.5 + MARGIN / accuracy))
+    quantiles = F.expr(f"percentile_approx(v, array({low}D, {high}D), {accuracy})")
+    few = (F.col("n") < 4 * accuracy) | F.lit(low == 0.0)
+    return ([F.count(F.lit(1)).alias("n"), quantiles.alias("q"), F.min("v").alias("least"),
+             F.max("v").alias("most")],
+            F.when(few, F.col("least")).otherwise(F.col("q")[0]),
+            F.when(few, F.col("most")).otherwise(F.col("q")[1]))
 
 
 def lower_half_medians(values: DataFrame, scales: dict[str, int] | None = None,
-                       buckets: int = COARSE_BUCKETS) -> DataFrame:
+                       buckets: int = ACCURACY) -> DataFrame:
     """Lower-half medians of several series in one job.
 
     ``values`` has columns ``g`` (series name) and ``v`` (decimal, already
     filtered to the qualifying rows). Returns ``g, median`` with one row per
-    series present, rounded to ``scales[g]`` places (default 2).
+    series present, rounded to ``scales[g]`` places (default 2). ``buckets``
+    is the accuracy of the enclosing quantiles; the result does not depend on it.
     """
     scales = scales or {}
     vals = values.where(F.col("v").isNotNull())
-    hist = vals.groupBy("g", "v").agg(F.count(F.lit(1)).alias("c"))
     # One row per series: bounded by the number of series, so broadcast.
-    st = hist.groupBy("g").agg(F.sum("c").alias("n"), F.min("v").alias("lo"),
-                               F.max("v").alias("hi"))
-    span = (F.col("hi") - F.col("lo")).cast("double")
-    pos = (F.col("v") - F.col("lo")).cast("double") / span * buckets
-    bucket = F.when(span > 0, F.least(F.floor(pos), F.lit(buckets - 1))).otherwise(F.lit(0))
-    binned = (hist.join(F.broadcast(st), "g")
-              .select("g", "v", "c", bucket.cast("int").alias("b"),
-                      F.call_function("div", F.col("n"), F.lit(2)).alias("m")))
-
-    coarse = binned.groupBy("g", "b", "m").agg(F.sum("c").alias("bc"))
-    upto = Window.partitionBy("g").orderBy("b").rowsBetween(Window.unboundedPreceding,
-                                                           Window.currentRow)
-    coarse = coarse.withColumn("cum", F.sum("bc").over(upto))
+    aggs, low, high = _enclosing(buckets)
+    st = vals.groupBy("g").agg(*aggs).select(
+        "g", F.call_function("div", F.col("n"), F.lit(2)).alias("m"), low.alias("lo"), high.alias("hi"))
+    hist = vals.groupBy("g", "v").agg(F.count(F.lit(1)).alias("c")).join(F.broadcast(st), "g")
+    ranked = _ranks(hist, ["g", "m"])
+    med = exact_mean("sv", "sw", 2)
+    for name, k in scales.items():
+        med = F.when(F.col("g") == name, exact_mean("sv", "sw", k)).otherwise(med)
+    return ranked.select("g", med.cast(DEC).alias("median"))
+
+
+def _ranks(hist: DataFrame, keys: list[str]) -> DataFrame:
+    """Weighted sum of the values at ranks m-1 and m: ``keys, sv, sw``.
+
+    ``hist``: ``keys, v, c, m, lo, hi``, one row per distinct value. Values
+    outside [lo, hi] leave as sums of counts; only those inside are ordered.
+    """
     m = F.col("m")
-    # Buckets whose rank span (cum - bc, cum] meets the target span (m-2, m]:
-    # at most two per series, so broadcast.
-    targets = coarse.where((F.col("cum") > m - 2) & (F.col("cum") - F.col("bc") < m)) \
-        .select("g", "b", (F.col("cum") - F.col("bc")).alias("offset"))
-    fine = binned.join(F.broadcast(targets), ["g", "b"])
-    within = Window.partitionBy("g", "b").orderBy("v").rowsBetween(Window.unboundedPreceding,
-                                                                   Window.currentRow)
-    fine = fine.withColumn("cum", F.col("offset") + F.sum("c").over(within))
+    place = F.when(F.col("v") < F.col("lo"), -1).when(F.col("v") > F.col("hi"), 1).otherwise(0)
+    placed = hist.withColumn("place", place).where("place <= 0")
+    # All values below count as one row at the front of the order.
+    folded = placed.groupBy(*dict.fromkeys([*keys, "m"]), F.when(F.col("place") == 0, F.col("v")).alias("v")).agg(
+        F.sum("c").alias("c"))
+    upto = Window.partitionBy(*keys).orderBy(F.col("v").asc_nulls_first()).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    counted = folded.withColumn("cum", F.sum("c").over(upto))
     w = F.greatest(F.lit(0), F.least(F.col("cum"), m) - F.greatest(F.col("cum") - F.col("c"), m - 2))
-    sums = fine.groupBy("g").agg(F.sum(F.col("v") * w).alias("sv"), F.sum(w).alias("sw"))
-    out = None
-    for name, k in scales.items():
-        out = (F.when(F.col("g") == name, exact_mean("sv", "sw", k)) if out is None
-               else out.when(F.col("g") == name, exact_mean("sv", "sw", k)))
-    default = exact_mean("sv", "sw", 2)
-    med = default if out is None else out.otherwise(default)
-    return sums.select("g", med.cast("decimal(18,2)").alias("median"))
+    return counted.groupBy(*keys).agg(F.sum(F.col("v") * w).alias("sv"),
+                                      F.sum(F.when(F.col("v").isNotNull(), w)).alias("sw"))
 
 
 def lower_half_median(df: DataFrame, col: str, where: Column | None = None,
-                      scale: int = 2, buckets: int = COARSE_BUCKETS,
+                      scale: int = 2, buckets: int = ACCURACY,
                       alias: str = "median") -> DataFrame:
     """M1-M3: one row, ``alias`` = lower-half median of ``col`` over ``where``
     (NULL when fewer than two values qualify)."""
     src = df.where(where) if where is not None else df
-    vals = src.select(F.lit("x").alias("g"), F.col(col).alias("v"))
-    meds = lower_half_medians(vals, {"x": scale}, buckets)
-    # Left join from a one-row frame keeps the row when nothing qualifies.
-    one = df.sparkSession.range(1).select(F.lit("x").alias("g"))
-    return one.join(meds, "g", "left").select(
-        F.col("median").cast(f"decimal(18,{scale})").alias(alias))
+    vals = src.select(F.col(col).alias("v")).where(F.col("v").isNotNull())
+    # A one-row aggregate read by scalar subqueries: nothing to join, and the
+    # plan stays lazy. Values above the higher quantile never reach the order.
+    aggs, low, high = _enclosing(buckets)
+    st = vals.agg(*aggs)
+    lo, hi = st.select(low).scalar(), st.select(high).scalar()
+    m = st.select(F.call_function("div", F.col("n"), F.lit(2))).scalar()
+    v = F.col("v")
+    hist = (vals.where(v <= hi).select(F.when(v >= lo, v).alias("v")).groupBy("v")
+            .agg(F.count(F.lit(1)).alias("c")))
+    upto = Window.orderBy(F.col("v").asc_nulls_first()).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    counted = hist.select("v", "c", F.sum("c").over(upto).alias("cum"), m.alias("m"))
+    w = F.greatest(F.lit(0), F.least(F.col("cum"), F.col("m"))
+                   - F.greatest(F.col("cum") - F.col("c"), F.col("m") - 2))
+    weighed = counted.where(F.col("v").isNotNull()).withColumn("w", w)
+    return weighed.agg(exact_mean(F.sum(F.col("v") * F.col("w")), F.sum("w"), scale)
+                       .cast(DEC).alias(alias))
 
 
 def exact_median(df: DataFrame, col: str, where: Column | None = None,
@@ -105,16 +129,6 @@ def exact_median(df: DataFrame, col: str, where: Column | None = None,
     return src.agg(F.median(F.col(col)).alias(alias))
 
 
-def middle_value(df: DataFrame, col: str, where: Column | None = None, scale: int = 2,
-                 method: str = "lower_half", alias: str = "median") -> DataFrame:
-    """Dispatch between the reference's lower-half median and the exact one."""
-    if method == "lower_half":
-        return lower_half_median(df, col, where, scale, alias=alias)
-    if method == "exact":
-        return exact_median(df, col, where, alias)
-    raise ValueError(f"unknown median method {method!r}")
-
-
 def top_k(df: DataFrame, col: str, k: int, tiebreak: list[str] | None = None,
           ascending: bool = False) -> DataFrame:
     """The ``k`` rows with the largest (or smallest) ``col``.

@@ -15,7 +15,7 @@ never a collect.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions.numeric import exact_mean, rounded_ratio_pct
@@ -35,7 +35,8 @@ def share(df: DataFrame, col: str, entity: list[str] | None = None,
     base = df.select(*entity, col).distinct() if entity else df.select(col)
     groups = base.groupBy(col).agg(F.count(F.col(col)).alias(count_alias),
                                    F.count(F.lit(1)).alias("__rows"))
-    total = groups.agg(F.sum("__rows")).scalar()
+    # Over the few grouped rows, so the input is aggregated once.
+    total = F.sum("__rows").over(Window.partitionBy())
     return groups.select(col, count_alias,
                          rounded_ratio_pct(F.col(count_alias), total, scale).alias(pct_alias))
 
@@ -46,6 +47,12 @@ def ordered_share(shares: DataFrame, col: str, pct_alias: str | None = None) ->
     return shares.orderBy(F.col(pct_alias).desc_nulls_first(), F.col(col).asc_nulls_first())
 
 
+def numbered(ordered: DataFrame, alias: str = "rank") -> DataFrame:
+    """The place of each row of an ordered report, as it would be printed."""
+    one = ordered.coalesce(1)
+    return one.withColumn(alias, F.monotonically_increasing_id() + 1)
+
+
 def top_share(shares: DataFrame, col: str, k: int, pct_alias: str | None = None) -> DataFrame:
     """The ``k`` largest shares ("top 5 states", "top 10 brands")."""
     pct_alias = pct_alias or f"{col}_percent"

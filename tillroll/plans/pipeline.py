@@ -4,20 +4,25 @@ load -> clean (C1-C4) -> caps (C5) -> k-sigma (C6) -> medians (M1, M2) ->
 joined items (J1, J2) -> item imputation (I1, I2) -> receipt median (M3) ->
 receipt imputation (I3) -> final table (J3-J6).
 
-Every stage is a DataFrame. ``run`` optionally writes stage outputs as
-parquet tables under the session's shared checkpoint folder: that cuts the
-lineage (an executor lost later recomputes from the written stage, not from
-the raw scans) and mirrors the reference's committed stages.
+Every stage is a DataFrame, and the plan is the same at every size: J1 and J2
+feed one additive aggregate (for the means of all levels) and the rows to
+complete. ``run`` writes the cleaned tables and the joined items as parquet
+under the session's shared checkpoint folder: that cuts the lineage (an
+executor lost later recomputes from the written stage, not from the raw
+scans) and mirrors the reference's committed stages. The folder is deleted at
+the end of the run.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillroll.functions.numeric import DEC
 from tillroll.functions.scalars import literal, one_row
 from tillroll.operators import clean, enrich, impute, order_stats, outliers
 from tillroll.session import ensure_checkpoint_dir
@@ -36,13 +41,6 @@ class Params:
     price_scale: int = 2
     qty_scale: int = 0
     clean: bool = True
-    split_missing: bool = True
-    # Stage the joined rows: True, False, or "auto" = when the scan-size
-    # estimate of the join inputs (items + details) exceeds ``stage_min_bytes``.
-    # Staging costs a write and a read; recomputing costs the large joins once
-    # per consumer, which only pays off for small inputs.
-    stage_joined: bool | str = "auto"
-    stage_min_bytes: int = 1 << 30
     item_levels: list = field(default_factory=lambda: [
         ["global_product_id"], ["primary_category_id", "secondary_category_id"],
         ["retailer_id", "brand_id"]])
@@ -60,64 +58,82 @@ FIXTURE_PARAMS = Params(price_cap=fixtures.PRICE_CAP, total_cap=fixtures.TOTAL_C
                         as_of=fixtures.AS_OF)
 
 
-@dataclass
 class Inputs:
-    """The seven receipt tables, typed (C4 applied) but not yet cleaned."""
-    receipts: DataFrame
-    customers: DataFrame
-    retailers: DataFrame
-    brands: DataFrame
-    details: DataFrame
-    items: DataFrame
+    """The six receipt tables a pipeline reads, typed (C4 applied) but not yet
+    cleaned. A table may be given as a function; it is called on first use."""
+
+    def __init__(self, receipts, customers, retailers, brands, details, items):
+        self._given = {"receipts": receipts, "customers": customers, "retailers": retailers,
+                       "brands": brands, "details": details, "items": items}
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_") or name not in self._given:
+            raise AttributeError(name)
+        value = self._given[name]
+        if not isinstance(value, DataFrame):
+            value = self._given[name] = value()
+        return value
 
     @classmethod
     def from_fixtures(cls, spark: SparkSession, sf_dir: str) -> "Inputs":
         t = fixtures.Tables(spark, sf_dir)
-        return cls(t.receipts(), t.customers(), t.retailers(), t.brands(),
-                   t.receipt_item_details(), t.receipt_items())
+        return cls(t.receipts, t.customers, t.retailers, t.brands, t.receipt_item_details,
+                   t.receipt_items)
 
     @classmethod
-    def from_csv(cls, spark: SparkSession, csv_dir: str, lenient: bool = False) -> "Inputs":
+    def from_csv(cls, spark: SparkSession, csv_dir: str, lenient: bool = False,
+                 multi_line: bool = False) -> "Inputs":
         """S1 + C1 + C4 + C8: ``<csv_dir>/<table>.csv`` (file or folder of parts),
         header, comma, declared all-string schema; sentinels to NULL, strict
         numeric casts (``lenient`` turns malformed numbers into NULL), typed
-        dates and timestamps, ``char(n)`` padding of gender."""
+        dates and timestamps, ``char(n)`` padding."""
         def read(name: str) -> DataFrame:
-            return csv_io.read_csv(spark, f"{csv_dir.rstrip('/')}/{name}.csv", RAW[name])
-        customers = clean.pad_char(
-            read("customers").withColumn("birth_date", F.col("birth_date").cast("date")), "gender", 1)
-        return cls(clean.clean_receipts(read("receipts"), lenient), customers, read("retailers"),
-                   read("brands"), clean.clean_details(read("receipt_item_details")),
-                   clean.clean_items(read("receipt_items"), lenient))
+            return csv_io.read_csv(spark, f"{csv_dir.rstrip('/')}/{name}.csv", RAW[name], multi_line)
+        return cls(lambda: clean.clean_receipts(read("receipts"), lenient),
+                   lambda: clean.pad_declared(read("customers").withColumn(
+                       "birth_date", F.col("birth_date").cast("date")), "customers"),
+                   lambda: read("retailers"), lambda: read("brands"),
+                   lambda: clean.clean_details(read("receipt_item_details")),
+                   lambda: clean.clean_items(read("receipt_items"), lenient))
 
 
-@dataclass
 class Cleaned:
-    receipts: DataFrame
-    customers: DataFrame
-    retailers: DataFrame
-    brands: DataFrame
-    details: DataFrame
-    items: DataFrame
-    _memo: dict = field(default_factory=dict, repr=False)
+    """The tables after C1-C6. Each is cleaned on first use, so a query that
+    reads receipts only computes no bounds of the items."""
+
+    def __init__(self, makers: dict[str, Callable[[], DataFrame]]):
+        self._makers, self._memo = makers, {}
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_") or name not in self._makers:
+            raise AttributeError(name)
+        return self.memo(f"table:{name}", self._makers[name])
 
     def memo(self, key: str, make):
-        """Evaluate a global value (median, joined rows) once per cleaned input."""
+        """Evaluate a table or global value (bound, median) once per cleaned input."""
         if key not in self._memo:
             self._memo[key] = make()
         return self._memo[key]
 
+    def staged(self, **tables: DataFrame) -> "Cleaned":
+        """The same with some tables replaced by stored ones."""
+        return Cleaned({**{k: (lambda k=k: getattr(self, k)) for k in self._makers},
+                        **{k: (lambda df=df: df) for k, df in tables.items()}})
+
 
 def clean_stage(inp: Inputs, p: Params) -> Cleaned:
     """C1-C6 on every table (P2: switchable, the reference's script assumes it done)."""
-    items, receipts = inp.items, inp.receipts
-    customers, brands, details = inp.customers, inp.brands, inp.details
-    if p.clean:
-        items = outliers.remove_outliers(items, "price", p.price_cap, p.k_sigma)
-        receipts = outliers.remove_outliers(receipts, "total_price", p.total_cap, p.k_sigma)
-        customers = clean.clean_customers(customers)
-        brands = clean.clean_brands(brands)
-    return Cleaned(receipts, customers, inp.retailers, brands, details, items)
+    if not p.clean:
+        return Cleaned({k: (lambda k=k: getattr(inp, k)) for k in
+                        ("receipts", "customers", "retailers", "brands", "details", "items")})
+    return Cleaned({
+        "items": lambda: outliers.remove_outliers(inp.items, "price", p.price_cap, p.k_sigma),
+        "receipts": lambda: outliers.remove_outliers(inp.receipts, "total_price", p.total_cap, p.k_sigma),
+        "customers": lambda: clean.clean_customers(inp.customers),
+        "brands": lambda: clean.clean_brands(inp.brands),
+        "retailers": lambda: inp.retailers,
+        "details": lambda: inp.details,
+    })
 
 
 def median_price(items: DataFrame, p: Params) -> DataFrame:
@@ -140,7 +156,7 @@ def median_total(receipts: DataFrame, p: Params) -> DataFrame:
 
 def fallback(median: DataFrame) -> "F.Column":
     """A one-row median as a literal (evaluated once, see functions.scalars)."""
-    return literal(one_row(median)[0], "decimal(18,2)")
+    return literal(one_row(median)[0], DEC)
 
 
 MEDIAN_SERIES = ("price", "quantity", "total_price")
@@ -170,7 +186,7 @@ def all_medians(c: Cleaned, p: Params, wanted=MEDIAN_SERIES) -> dict:
         got = {r["g"]: r["median"] for r in order_stats.lower_half_medians(
             vals, {g: scales[g] for g in todo}).collect()}
         for g in todo:
-            c._memo[f"median:{g}"] = literal(got.get(g), "decimal(18,2)")
+            c._memo[f"median:{g}"] = literal(got.get(g), DEC)
     return {g: c._memo[f"median:{g}"] for g in wanted}
 
 
@@ -180,8 +196,7 @@ def impute_receipts(receipts: DataFrame, p: Params, level_col: str | None = None
     fb = fallback(median_total(receipts, p)) if fb is None else fb
     t = impute.Target("total_price", p.price_scale, "imputed_total_price", fb,
                       flag="flag_total_price_imputed", level_col=level_col)
-    return impute.hierarchical_impute(receipts, [t], p.receipt_levels, p.receipt_level_names,
-                                      split_missing=p.split_missing)
+    return impute.hierarchical_impute(receipts, [t], p.receipt_levels, p.receipt_level_names)
 
 
 def item_targets(c: Cleaned, p: Params, levels: bool = False) -> list[impute.Target]:
@@ -195,58 +210,9 @@ def item_targets(c: Cleaned, p: Params, levels: bool = False) -> list[impute.Tar
     ]
 
 
-def stage_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as parquet under the shared checkpoint folder and read
-    it back: the lineage is cut (a lost executor recomputes from the written
-    stage), consumers get column pruning and size statistics, and the rows
-    are computed exactly once however many consumers follow."""
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tillroll-stages/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of ``df`` (from file sizes and column widths)."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(size if isinstance(size, int) else size.toString())
-
-
-def maybe_stage(df: DataFrame, name: str, p: Params,
-                inputs: list[DataFrame]) -> tuple[DataFrame, bool]:
-    """Stage ``df`` when asked, or ("auto") when its join inputs are large.
-
-    The decision reads the inputs' scan sizes: without column statistics
-    Catalyst's estimate of a join output is unbounded, but the joined rows
-    grow with the item table.
-    """
-    if p.stage_joined == "auto":
-        stage = sum(estimated_bytes(x) for x in inputs) >= p.stage_min_bytes
-    else:
-        stage = bool(p.stage_joined)
-    return (stage_table(df, name), True) if stage else (df, False)
-
-
-def split_rows(p: Params, staged: bool) -> bool:
-    """Send only incomplete rows through the lookups when the joined rows are
-    staged. The split reads the joined rows twice (complete / incomplete):
-    cheap from a staged table, a second run of the large joins otherwise."""
-    return p.split_missing and staged
-
-
-def joined_items(c: Cleaned, p: Params) -> tuple[DataFrame, bool]:
-    """J1 + J2, computed once per cleaned input.
-
-    The joined rows feed the three level aggregates, the rows to complete and
-    the rows already complete. Large joined rows are staged once
-    (``maybe_stage``) instead of re-running both large joins per consumer
-    (each consumer pushes different filters below the joins, so Spark cannot
-    reuse the shuffles).
-    """
-    def make():
-        return maybe_stage(enrich.join_items(c.items, c.details, c.receipts), "joined-items", p,
-                           [c.items, c.details])
-    return c.memo("joined", make)
+def joined_items(c: Cleaned) -> DataFrame:
+    """J1 + J2."""
+    return c.memo("joined", lambda: enrich.join_items(c.items, c.details, c.receipts))
 
 
 def receipts_imputed(c: Cleaned, p: Params, level_col: str | None = None) -> DataFrame:
@@ -254,52 +220,54 @@ def receipts_imputed(c: Cleaned, p: Params, level_col: str | None = None) -> Dat
 
 
 def impute_items(c: Cleaned, p: Params, levels: bool = False) -> DataFrame:
-    """I1 + I2 (+ I4 flags): new_receipt_items over the joined rows."""
-    s, staged = joined_items(c, p)
-    return impute.hierarchical_impute(s, item_targets(c, p, levels), p.item_levels,
-                                      p.item_level_names, split_missing=split_rows(p, staged))
+    """I1 + I2 (+ I4 flags): new_receipt_items over the joined rows.
+
+    J1 and J2 occur twice in the plan: below the additive aggregate of the
+    level means (which reads keys and values only) and for the rows themselves.
+    """
+    return impute.hierarchical_impute(joined_items(c), item_targets(c, p, levels), p.item_levels,
+                                      p.item_level_names)
 
 
 def final_output(c: Cleaned, p: Params) -> DataFrame:
-    """The 20-column final table (decimals kept as decimal(18,2)).
+    """The 20-column final table.
 
     J1, J2 and J3 run back to back (J2 and J3 share the receipt_id
-    partitioning), the result is staged once, and the item means are taken
-    over its first-copy rows (the J2 rows).
+    partitioning); the item means are taken over the J2 rows.
     """
     all_medians(c, p)          # the three medians in one job
-
-    def make():
-        nr = receipts_imputed(c, p)
-        wide_r = enrich.receipt_side(nr, c.customers, c.retailers, p.as_of, p.zone)
-        s3 = enrich.attach_receipts(enrich.join_items(c.items, c.details, c.receipts), wide_r)
-        return maybe_stage(s3, "items-receipts", p, [c.items, c.details])
-    s3, staged = c.memo("joined_wide", make)
-    stats = s3.where(enrich.first_copy())
-    nri = impute.hierarchical_impute(s3, item_targets(c, p), p.item_levels,
-                                     p.item_level_names, stats_from=stats,
-                                     split_missing=split_rows(p, staged))
+    wide_r = enrich.receipt_side(receipts_imputed(c, p), c.customers, c.retailers, p.as_of, p.zone)
+    joined = joined_items(c)
+    nri = impute.hierarchical_impute(enrich.attach_receipts(joined, wide_r), item_targets(c, p),
+                                     p.item_levels, p.item_level_names, stats_from=joined)
     return enrich.finish(nri, c.brands)
 
 
-def build(spark: SparkSession, sf_dir: str, p: Params = FIXTURE_PARAMS) -> DataFrame:
-    return final_output(clean_stage(Inputs.from_fixtures(spark, sf_dir), p), p)
-
-
 def run(spark: SparkSession, src: Inputs, out: str, p: Params = Params(),
         stage: bool = True, csv_out: str | None = None) -> DataFrame:
     """Clean, impute and write the final table to ``out`` (overwrite).
 
-    With ``stage`` the cleaned item and receipt tables are first written to a
-    run folder under the shared checkpoint directory and re-read, so the
-    expensive cleaning is not recomputed if later stages are retried.
+    With ``stage`` the cleaned receipts, the cleaned items and the joined items
+    are written to a run folder under the shared checkpoint directory and
+    re-read, so neither cleaning nor joins are repeated by their consumers or
+    by a retry. The folder is deleted at the end.
     """
     c = clean_stage(src, p)
-    if stage:
-        c = Cleaned(stage_table(c.receipts, "receipts"), c.customers, c.retailers,
-                    c.brands, c.details, stage_table(c.items, "items"))
-    final = final_output(c, p)
-    csv_io.write_table(final, out)
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tillroll-run-{uuid.uuid4().hex}"
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
+
+    try:
+        if stage:
+            c = c.staged(receipts=stored(c.receipts, "receipts"), items=stored(c.items, "items"))
+            joined = stored(joined_items(c), "joined-items")
+            c._memo["joined"] = joined
+        csv_io.write_table(final_output(c, p), out)
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     result = csv_io.read_table(spark, out)
     if csv_out:
         csv_io.write_csv(result, csv_out)

@@ -15,18 +15,34 @@ from pyspark.sql.types import StructType
 _NEVER = "\u0001"
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """Header CSV with comma delimiter and a declared all-string schema."""
+def read_csv(spark: SparkSession, path: str, schema: StructType,
+             multi_line: bool = False) -> DataFrame:
+    """Header CSV with comma delimiter and a declared all-string schema.
+
+    Quotes inside a quoted field are doubled, a backslash is an ordinary
+    character and blanks are kept, as ``COPY ... CSV`` has it. ``multi_line``
+    allows quoted line breaks; without it files stay splittable and a quoted
+    line break makes its record malformed, which fails the job.
+    """
     return (spark.read.schema(schema)
             .option("header", True).option("sep", ",")
+            .option("quote", '"').option("escape", '"')
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
             .option("nullValue", _NEVER).option("emptyValue", "")
+            .option("multiLine", multi_line)
             .option("mode", "FAILFAST")
             .csv(path))
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """Header CSV export (a directory of part files), replacing earlier output."""
+    """Header CSV export (a directory of part files), replacing earlier output.
+
+    NULL is an unquoted empty field, the empty text a quoted one; quotes are
+    doubled and blanks kept.
+    """
     (df.write.mode("overwrite").option("header", True)
+     .option("quote", '"').option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
      .option("nullValue", "").option("emptyValue", '""')
      .csv(path))
 

@@ -12,10 +12,10 @@ from __future__ import annotations
 
 import datetime as _dt
 import hashlib
-import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 from tillroll.functions.numeric import DEC
 from tillroll.functions.timecols import instant_from_utc_wallclock
@@ -23,6 +23,8 @@ from tillroll.functions.timecols import instant_from_utc_wallclock
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
                  "lineitem", "events")
 
+RECEIPT_SOURCES = DRIVER_TABLES[:-1]
+
 # Fixed values of the fixture (FIXTURES.md): reference as-of date for ages,
 # the raised caps for this data, and the missing-value token.
 AS_OF = "2017-09-01"
@@ -30,6 +32,7 @@ PRICE_CAP = 200000
 TOTAL_CAP = 1000000
 NULL_TOKEN = "(null)"
 BIRTH_EPOCH = _dt.date(1920, 1, 1)
+ORDERS_PER_RETAILER = 150       # orders and suppliers grow by the same factor
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,19 +44,26 @@ def _s(c: Column) -> Column:
 
 
 def receipts(orders: DataFrame) -> DataFrame:
-    """receipts <- orders: id, customer_id, retailer_id, created_at, total_price."""
+    """receipts <- orders: id, customer_id, retailer_id, created_at, total_price.
+
+    The retailer key grows with the orders, as the suppliers do; every 41st
+    customer and every tenth retailer is referred to by a key no table has.
+    """
     k, cust = F.col("o_orderkey"), F.col("o_custkey")
-    tp = F.col("o_totalprice").cast(DEC)
+    shop = F.floor(k / ORDERS_PER_RETAILER)
+    tp = F.col("o_totalprice").cast("decimal(18,2)")
     total = (F.when(k % 7 == 0, None)
              .when(k % 11 == 0, 0)
-             .when(k % 10 == 3, None)
-             .when((k % 10 == 4) & (cust % 2 == 0), 0)
+             .when(shop % 10 == 3, None)
+             .when((shop % 10 == 4) & (cust % 2 == 0), 0)
              .when(k % 997 == 0, tp * 1000)
              .when(k % 97 == 0, tp * 2)
              .when(k % 509 == 0, -tp)
              .otherwise(tp)).cast(DEC)
     return orders.select(
-        _s(k).alias("id"), _s(cust).alias("customer_id"), _s(k % 10).alias("retailer_id"),
+        _s(k).alias("id"),
+        F.when(cust % 41 == 0, F.concat(F.lit("gone-"), _s(cust))).otherwise(_s(cust)).alias("customer_id"),
+        F.when(shop % 10 == 9, F.concat(F.lit("gone-"), _s(shop))).otherwise(_s(shop)).alias("retailer_id"),
         instant_from_utc_wallclock("o_orderdate").alias("created_at"),
         total.alias("total_price"))
 
@@ -77,7 +87,7 @@ def receipt_items(lineitem: DataFrame, part: DataFrame) -> DataFrame:
     """receipt_items <- lineitem x part: receipt_item_id, price, quantity."""
     ok, pk = F.col("l_orderkey"), F.col("l_partkey")
     gone = (F.col("p_size") % 10 == 0) | (F.col("p_brand") == "Brand#7")
-    ep = F.col("l_extendedprice").cast(DEC)
+    ep = F.col("l_extendedprice").cast("decimal(18,2)")
     price = (F.when(gone, None)
              .when(pk % 13 == 0, 0)
              .when(pk % 19 == 0, None)
@@ -93,7 +103,7 @@ def receipt_items(lineitem: DataFrame, part: DataFrame) -> DataFrame:
            .when(ok % 6 == 0, None)
            .when(ok % 31 == 0, 0)
            .when(ok % 37 == 0, -1)
-           .otherwise(F.col("l_quantity").cast(DEC))).cast(DEC)
+           .otherwise(F.col("l_quantity").cast("decimal(18,2)"))).cast(DEC)
     return _lineitem_part(lineitem, part).select(
         _item_id().alias("receipt_item_id"), price.alias("price"), qty.alias("quantity"))
 
@@ -107,12 +117,13 @@ def receipt_item_details(lineitem: DataFrame, part: DataFrame) -> DataFrame:
         F.col("p_type").alias("primary_category_id"),
         _s(F.col("p_size")).alias("secondary_category_id"),
         F.when(pk % 3 != 0, F.col("p_name")).alias("tertiary_category_id"),
-        F.when(pk % 17 != 0, F.col("p_brand")).alias("brand_id"),
+        F.when(F.col("p_brand") == "Brand#5", "gone-Brand#5").when(
+            pk % 17 != 0, F.col("p_brand")).alias("brand_id"),
         _s(pk).alias("global_product_id"))
 
 
 def customers(customer: DataFrame, nation: DataFrame) -> DataFrame:
-    """customers <- customer x nation, leaving every 41st key out (orphans)."""
+    """customers <- customer x nation."""
     ck = F.col("c_custkey")
     gender = F.when(ck % 10 < 7, "F").when(ck % 10 < 9, "M").otherwise(" ")
     birth = F.when(ck % 29 != 0,
@@ -120,7 +131,7 @@ def customers(customer: DataFrame, nation: DataFrame) -> DataFrame:
     edu = (F.when(F.col("c_mktsegment") == "BUILDING",
                   F.when(ck % 2 == 0, "none").otherwise(""))
            .otherwise(F.col("c_mktsegment")))
-    c = customer.where(ck % 41 != 0).select("c_custkey", "c_nationkey", "c_mktsegment")
+    c = customer.select("c_custkey", "c_nationkey", "c_mktsegment")
     n = nation.select("n_nationkey", "n_name")
     return c.join(n, c.c_nationkey == n.n_nationkey, "inner").select(
         _s(ck).alias("id"), gender.alias("gender"), birth.alias("birth_date"),
@@ -128,8 +139,8 @@ def customers(customer: DataFrame, nation: DataFrame) -> DataFrame:
 
 
 def retailers(supplier: DataFrame, nation: DataFrame, region: DataFrame) -> DataFrame:
-    """retailers <- supplier x nation x region for s_suppkey < 9 (retailer 9 is an orphan)."""
-    s = supplier.where(F.col("s_suppkey") < 9).select("s_suppkey", "s_nationkey")
+    """retailers <- supplier x nation x region."""
+    s = supplier.select("s_suppkey", "s_nationkey")
     n = nation.select("n_nationkey", "n_regionkey")
     r = region.select("r_regionkey", "r_name")
     return (s.join(n, s.s_nationkey == n.n_nationkey)
@@ -138,8 +149,8 @@ def retailers(supplier: DataFrame, nation: DataFrame, region: DataFrame) -> Data
 
 
 def brands(part: DataFrame) -> DataFrame:
-    """brands <- distinct p_brand except Brand#5; Brand#3 needs verification."""
-    b = part.select("p_brand").where(F.col("p_brand") != "Brand#5").distinct()
+    """brands <- distinct p_brand; Brand#3 needs verification."""
+    b = part.select("p_brand").distinct()
     name = F.when(F.col("p_brand") == "Brand#3", "Needs Verification") \
         .otherwise(F.concat(F.lit("Name "), F.col("p_brand")))
     return b.select(F.col("p_brand").alias("id"), name.alias("name"))
@@ -152,75 +163,98 @@ def product_categories(part: DataFrame) -> DataFrame:
 
 
 def as_raw_strings(df: DataFrame, sentinel_cols: list[str], token: str = NULL_TOKEN) -> DataFrame:
-    """Render a typed table the way its CSV export looks: every column a string,
-    NULL written as ``token`` in the sentinel-bearing columns (to exercise C1/C4)."""
+    """Render a typed table the way its CSV export looks: every column a string
+    (numbers with their two decimals), NULL written as ``token`` in the
+    sentinel-bearing columns (to exercise C1/C4)."""
     out = []
     for f in df.schema.fields:
-        c = F.col(f.name).cast("string")
+        c = F.col(f.name)
+        c = (c.cast("decimal(18,2)") if isinstance(f.dataType, DecimalType) else c).cast("string")
         if f.name in sentinel_cols:
             c = F.coalesce(c, F.lit(token))
         out.append(c.alias(f.name))
     return df.select(*out)
 
 
-_TABLES = ("receipts", "receipt_items", "receipt_item_details", "customers", "retailers",
-           "brands", "product_categories")
-_LOADED: dict[tuple[str, str], str] = {}
+_SOURCES = {
+    "receipts": (receipts, ("orders",)),
+    "receipt_items": (receipt_items, ("lineitem", "part")),
+    "receipt_item_details": (receipt_item_details, ("lineitem", "part")),
+    "customers": (customers, ("customer", "nation")),
+    "retailers": (retailers, ("supplier", "nation", "region")),
+    "brands": (brands, ("part",)),
+    "product_categories": (product_categories, ("part",)),
+}
+
+
+def fingerprint(spark: SparkSession, sf_dir: str, names: tuple[str, ...]) -> str:
+    """Digest of the files (path, length, time of change) of the given tables,
+    listed by Hadoop's file system, so any store and any path form works."""
+    seen = []
+    for name in names:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{name}.parquet")
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        status = fs.getFileStatus(path)
+        for f in (fs.listStatus(path) if status.isDirectory() else [status]):
+            seen.append(f"{f.getPath()}|{f.getLen()}|{f.getModificationTime()}")
+    return hashlib.sha1("\n".join(sorted(seen)).encode()).hexdigest()[:16]
+
+
+def loaded(spark: SparkSession, kind: str, key: str, make) -> DataFrame:
+    """The table stored under ``key``, written by ``make()`` if it is not there.
+
+    The folder lies under the shared checkpoint folder and names the
+    application and the input files' digest, so changed inputs never meet an
+    older table; a table counts only once its writer has committed it.
+    """
+    from tillroll.session import ensure_checkpoint_dir
+
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/tillroll-{kind}/{spark.sparkContext.applicationId}/{key}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def drop_loaded(spark: SparkSession) -> None:
+    """Delete what ``loaded`` has stored for this application."""
+    from tillroll.session import ensure_checkpoint_dir
+
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    for kind in ("load", "final"):
+        path = spark._jvm.org.apache.hadoop.fs.Path(
+            f"{base}/tillroll-{kind}/{spark.sparkContext.applicationId}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 class Tables:
     """The receipt model over one driver directory.
 
-    With ``materialize`` (the default) the seven tables are derived once per
-    Spark application and written as parquet under the shared checkpoint
-    folder - the load stage the reference performs with ``\\copy`` - then
-    read back. Later stages see plain typed columns (small expressions,
-    parquet column pruning and statistics for adaptive join planning)
-    instead of the derivation rules inlined into every filter, and the
-    lineage of every query starts at the loaded tables.
+    With ``materialize`` (the default) a table is derived on its first use and
+    written as parquet under the shared checkpoint folder - the load stage the
+    reference performs with ``\\copy`` - then read back. Later stages see
+    plain typed columns (small expressions, parquet column pruning and
+    statistics for adaptive join planning) instead of the derivation rules
+    inlined into every filter, and the lineage of every query starts at the
+    loaded tables. Tables that a query does not read are never derived.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str, materialize: bool = True):
         self.spark, self.sf_dir, self.materialize = spark, sf_dir, materialize
-        self._base = self._load() if materialize else None
 
     def driver(self, name: str) -> DataFrame:
         return load(self.spark, self.sf_dir, name)
 
     def _derive(self, name: str) -> DataFrame:
-        d = self.driver
-        if name == "receipts":
-            return receipts(d("orders"))
-        if name == "receipt_items":
-            return receipt_items(d("lineitem"), d("part"))
-        if name == "receipt_item_details":
-            return receipt_item_details(d("lineitem"), d("part"))
-        if name == "customers":
-            return customers(d("customer"), d("nation"))
-        if name == "retailers":
-            return retailers(d("supplier"), d("nation"), d("region"))
-        if name == "brands":
-            return brands(d("part"))
-        if name == "product_categories":
-            return product_categories(d("part"))
-        raise KeyError(name)
-
-    def _load(self) -> str:
-        from tillroll.session import ensure_checkpoint_dir
-
-        key = (self.spark.sparkContext.applicationId, os.path.abspath(self.sf_dir))
-        if key not in _LOADED:
-            digest = hashlib.sha1(key[1].encode()).hexdigest()[:12]
-            base = f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/tillroll-load/{key[0]}/{digest}"
-            for name in _TABLES:
-                self._derive(name).write.mode("overwrite").parquet(f"{base}/{name}")
-            _LOADED[key] = base
-        return _LOADED[key]
+        rule, sources = _SOURCES[name]
+        return rule(*[self.driver(x) for x in sources])
 
     def table(self, name: str) -> DataFrame:
-        if self._base is None:
+        if not self.materialize:
             return self._derive(name)
-        return self.spark.read.parquet(f"{self._base}/{name}")
+        key = f"{name}-{fingerprint(self.spark, self.sf_dir, _SOURCES[name][1])}"
+        return loaded(self.spark, "load", key, lambda: self._derive(name))
 
     def receipts(self) -> DataFrame:
         return self.table("receipts")

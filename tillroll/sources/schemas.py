@@ -1,17 +1,14 @@
 """Declared input schemas of the seven receipt-model tables.
 
 Raw CSV columns are all read as strings (so sentinel tokens survive the scan),
-then cleaned and cast; ``TYPED`` gives the schema after cleaning.
+then cleaned and cast.
 """
 
 from __future__ import annotations
 
-from pyspark.sql.types import (
-    DateType, DecimalType, StringType, StructField, StructType, TimestampType,
-)
+from pyspark.sql.types import StringType, StructField, StructType
 
 _S = StringType()
-_D = DecimalType(18, 2)
 
 
 def _strings(*names: str) -> StructType:
@@ -31,21 +28,6 @@ RAW = {
     "receipt_items": _strings("receipt_item_id", "price", "quantity"),
 }
 
-TYPED = {
-    "receipts": StructType([
-        StructField("id", _S), StructField("customer_id", _S), StructField("retailer_id", _S),
-        StructField("created_at", TimestampType()), StructField("total_price", _D)]),
-    "customers": StructType([
-        StructField("id", _S), StructField("gender", _S), StructField("birth_date", DateType()),
-        StructField("education", _S), StructField("state", _S)]),
-    "retailers": RAW["retailers"],
-    "brands": RAW["brands"],
-    "product_categories": RAW["product_categories"],
-    "receipt_item_details": RAW["receipt_item_details"],
-    "receipt_items": StructType([
-        StructField("receipt_item_id", _S), StructField("price", _D), StructField("quantity", _D)]),
-}
-
 # Sentinel-bearing columns per table (C1) and the char(n) widths.
 SENTINEL_COLUMNS = {
     "receipts": ["total_price"],
