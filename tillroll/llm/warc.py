@@ -36,7 +36,6 @@ from tillroll.llm.common import map_arrow, shared_path
 MIN_REVISIT = 100
 DICTIONARY_BYTES = 64 << 10
 SAMPLE_ROWS, SAMPLE_BYTES = 2000, 8 << 20   # most records, and bytes, a dictionary is trained on
-ARCHIVE_BYTES = 24 << 20                    # payload an archive is sized for
 LEVEL = 3
 WARC_DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -113,16 +112,28 @@ def read_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def plan_records(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """``page_id, url, payload, digest, revisits`` (null for a response)."""
+    """``page_id, url, payload, digest, revisits`` (null for a response).
+
+    What a page becomes is decided on ids and digests alone (a payload that a
+    third of all pages share costs one lean row each, and that join may be
+    split); the payloads move once, by page, and are dealt to the archives by
+    the same exchange.
+    """
     payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "utf-8")
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"),
-                        payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
-    firsts = (rows.where(F.octet_length("payload") >= MIN_REVISIT).groupBy("digest")
+    digest = F.sha2(payload, 256)
+    lean = pages.select(F.col(id_col).alias("page_id"), digest.alias("digest"),
+                        (F.octet_length(payload) >= MIN_REVISIT).alias("long"))
+    firsts = (lean.where("long").groupBy("digest")
               .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
               .select(F.col("digest").alias("of"), "first"))
-    return (rows.join(firsts, F.col("digest") == F.col("of"), "left")
-            .select("page_id", "url", "payload", "digest",
-                    F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("revisits")))
+    decided = (lean.select("page_id", "digest").distinct().join(firsts, F.col("digest") == F.col("of"), "left")
+               .select(F.col("page_id").alias("d_id"), F.col("digest").alias("d_digest"),
+                       F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("revisits")))
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"),
+                        payload.alias("payload"), digest.alias("digest"))
+    return (rows.join(decided.hint("shuffle_hash"), F.col("page_id").eqNullSafe(F.col("d_id"))
+                      & (F.col("digest") == F.col("d_digest")))
+            .select("page_id", "url", "payload", "digest", "revisits"))
 
 
 def dictionary(pages: DataFrame, rows: int, url_col: str, html_col: str) -> bytes:
@@ -143,12 +154,13 @@ def dictionary(pages: DataFrame, rows: int, url_col: str, html_col: str) -> byte
 
 
 def write_archives(pages: DataFrame, out: str, id_col: str = "page_id", url_col: str = "url",
-                   html_col: str = "html", archive_bytes: int = ARCHIVE_BYTES) -> None:
-    """Writes ``out``/part-*: dictionary frame first, then one frame per record."""
-    spark = pages.sparkSession
-    total = pages.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(html_col)).alias("b")).first()
-    held = dictionary(pages, total["n"], url_col, html_col)
-    archives = max(1, -(-(total["b"] or 0) // archive_bytes))
+                   html_col: str = "html") -> None:
+    """Writes ``out``/part-*: dictionary frame first, then one frame per record.
+
+    Adaptive execution sizes the archives: one per partition of
+    ``spark.sql.adaptive.advisoryPartitionSizeInBytes`` payload bytes.
+    """
+    held = dictionary(pages, pages.count(), url_col, html_col)
     planned = plan_records(pages, id_col, url_col, html_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,8 +175,7 @@ def write_archives(pages: DataFrame, out: str, id_col: str = "page_id", url_col:
                 out_rows.append(writer.compress(record(p, url, body, digest, refers)))
             yield pa.RecordBatch.from_arrays([pa.array(out_rows, pa.binary())], names=["frame"])
 
-    dealt = planned.repartition(archives, F.xxhash64("page_id"))
-    (map_arrow(dealt, run, "frame binary").select(F.col("frame").cast("string").alias("value"))
+    (map_arrow(planned, run, "frame binary").select(F.col("frame").cast("string").alias("value"))
      .write.option("lineSep", SEPARATOR.decode()).text(out))
 
 
