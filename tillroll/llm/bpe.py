@@ -38,7 +38,8 @@ WINDOW = 32                 # code points the rolling hash looks back
 MEAN_BITS = 10              # a cut on average every 2^10 code points
 MIN_CHUNK, MAX_CHUNK = 256, 8192
 SALTS = 32                  # tasks over which one chunk hash may spread
-REUSE_BYTES = 48 << 20      # ids and edges a worker keeps for reuse
+REUSE_BYTES = 32 << 20      # ids a worker keeps for reuse
+WORD_CACHE = 400_000        # pieces its encoder remembers besides
 SPACE = " \t\n\r\x0b\x0c"
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
@@ -102,7 +103,7 @@ class ChunkCoder:
     """Encodes chunk lists; remembers the ids of chunks by their 128-bit hash."""
 
     def __init__(self, path: str):
-        self.encoder = encoder(path)
+        self.encoder = encoder(path, WORD_CACHE)
         self.seen: dict[bytes, bytes] = {}
         self.held = 0
         self.encoded = self.reused = 0

@@ -24,7 +24,7 @@ WORD_END = "</w>"
 LINE_WORDS = 100
 _PLAIN = re.compile("[a-zàâäçèéêëîïñôöùûüßáíóú]+").fullmatch
 
-_ENCODERS: dict[str, "PieceEncoder"] = {}
+_ENCODERS: dict[tuple[str, int], "PieceEncoder"] = {}
 
 
 def default_tokenizer() -> str:
@@ -32,11 +32,11 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encoder(path: str) -> "PieceEncoder":
+def encoder(path: str, pieces: int = CACHE_PIECES) -> "PieceEncoder":
     """The encoder of this Python worker (kept while the worker lives)."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = PieceEncoder(path)
-    return _ENCODERS[path]
+    if (path, pieces) not in _ENCODERS:
+        _ENCODERS[path, pieces] = PieceEncoder(path, pieces)
+    return _ENCODERS[path, pieces]
 
 
 def _ends_word(core: str) -> bool:
@@ -47,7 +47,8 @@ def _ends_word(core: str) -> bool:
 
 
 class PieceEncoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, limit: int = CACHE_PIECES):
+        self.limit = limit
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
@@ -82,7 +83,7 @@ class PieceEncoder:
     def pieces(self, words: list[str]) -> list[bytes]:
         """Little-endian uint32 ids of each distinct white-space free piece."""
         cache = self.cache
-        if len(cache) > CACHE_PIECES:
+        if len(cache) > self.limit:
             cache.clear()
         known = list(map(cache.get, words))
         missing = [i for i, x in enumerate(known) if x is None]
