@@ -96,9 +96,11 @@ def _hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Matcher:
-    def __init__(self, words: list[str]):
+    """Fingerprints over a sorted lexicon; ``tables`` are its ``_hashes``."""
+
+    def __init__(self, words: list[str], tables: tuple[np.ndarray, np.ndarray] | None = None):
         self.index = {w: i for i, w in enumerate(words)}
-        self.hash, self.member = _hashes(words)
+        self.hash, self.member = tables or _hashes(words)
 
     def fingerprint(self, text: str) -> np.ndarray:
         """One 16-bit hash per subset; 0 where the subset holds none of the terms."""
@@ -180,10 +182,11 @@ def in_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def edited_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next``; the edited text ends with the start of the next one."""
-    words = docs.sparkSession.sparkContext.broadcast(lexicon(docs, text_col))   # bounded: see above
+    words = lexicon(docs, text_col)
+    held = docs.sparkSession.sparkContext.broadcast((words, _hashes(words)))    # bounded: see above
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(words.value)
+        matcher = Matcher(*held.value)
         last = None             # the row that waits for its successor
         for b in batches:
             out = []
