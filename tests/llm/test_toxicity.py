@@ -26,10 +26,17 @@ def corpus(n=600):
     return rows, labels
 
 
+@pytest.fixture(scope="module", autouse=True)
+def fewer_trees():
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(T, "TREES", 8)
+        yield
+
+
 @pytest.fixture(scope="module")
 def scored(spark):
     rows, labels = corpus()
-    docs = spark.createDataFrame(rows + edge_rows(5)[:0], SCHEMA).unionByName(
+    docs = spark.createDataFrame(rows, SCHEMA).unionByName(
         edge_frame(spark, 5).withColumn("doc_id", F.col("doc_id") + 100_000))
     marks = spark.createDataFrame(labels + [(None, 1, 1), (100_000, None, None)],
                                   "doc_id long, quality int, toxic int")
