@@ -90,7 +90,7 @@ def op4_exact_dedup(spark, sf_dir):
 
 @query("op5_line_dedup")
 def op5_line_dedup(spark, sf_dir):
-    return linededup.line_classes(read(spark, sf_dir, "documents"))
+    return linededup.line_classes(read(spark, sf_dir, "documents"), max_edits=None)
 
 
 @query("op6_imatch_fingerprints")
