@@ -9,13 +9,17 @@
    checked before the lexicon is sent to the executors.
 2. ``SUBSETS`` random subsets of the lexicon, in levels of falling density, so
    that short and long texts both have subsets that hold a few of their terms.
-3. Of each text, the distinct lexicon terms are sorted and hashed once per
+3. Of each text, the distinct lexicon terms are ordered and hashed once per
    subset; the fingerprint is the row of these hashes. The likeness of two
    fingerprints is the share of equal hashes among the subsets that hold a
    term of either.
 
-A text without lexicon terms uses all its terms instead. Texts without any
-term have the all-zero fingerprint; two such are alike (1.0). Null counts as
+Where more than ``OUTSIDE_FROM`` of a text's terms are outside the lexicon (the
+band's floor rises with the corpus, so rare vocabularies fall below it), terms
+outside are used too: those with the lowest hashes, from none of them up to all
+where ``OUTSIDE_ALL`` of the text's terms are outside. So an edit that brings in
+a few terms of the band changes the terms in use by degree only.
+Texts without any term have the all-zero fingerprint; two such are alike (1.0). Null counts as
 empty. ``edited_neighbours`` orders rows by id (null first), then text hash.
 Extra columns are ignored; an empty table gives an empty result.
 """
@@ -40,6 +44,7 @@ LOW_SHARE, HIGH_SHARE = 0.0005, 0.1
 LEVELS, PER_LEVEL = 8, 8            # level l keeps a term with probability 2^-(l+2)
 SUBSETS = LEVELS * PER_LEVEL
 MAX_TERMS = 2_000_000               # the largest lexicon that is sent to executors
+OUTSIDE_FROM, OUTSIDE_ALL = 0.4, 0.65
 FLUSH_TERMS = 1 << 20
 BUCKETS_PER_PARTITION, MAX_BUCKETS = 4, 20_000
 FIRST_ID = -(1 << 63)
@@ -105,17 +110,22 @@ class Matcher:
     def fingerprint(self, text: str) -> np.ndarray:
         """One 16-bit hash per subset; 0 where the subset holds none of the terms."""
         own = terms(text)
-        get = self.index.get
-        found = [i for i in map(get, own) if i is not None]
-        if found:
-            order = np.sort(np.array(found))
-            h, member = self.hash[order], self.member[order]
-        elif own:
-            h, member = _hashes(sorted(own))
-        else:
+        if not own:
             return np.zeros(SUBSETS, np.uint16)
+        get = self.index.get
+        found = np.array([i for i in map(get, own) if i is not None], np.int64)
+        h, member = self.hash[found], self.member[found]
+        share = (1 - len(found) / len(own) - OUTSIDE_FROM) / (OUTSIDE_ALL - OUTSIDE_FROM)
+        if share > 0:
+            more, also = _hashes([w for w in own if w not in self.index])
+            if share < 1:
+                held = more < np.uint64(int(share * (1 << 64)))
+                more, also = more[held], also[held]
+            h, member = np.concatenate([h, more]), np.concatenate([member, also])
+        order = np.argsort(h)
+        h, member = h[order], member[order]
         bits = np.unpackbits(member, axis=1)
-        which, term = np.nonzero(bits.T)        # by subset, terms in sorted order
+        which, term = np.nonzero(bits.T)        # by subset, terms in order of their hash
         counts = np.bincount(which, minlength=SUBSETS)
         starts = np.cumsum(counts) - counts
         place = np.arange(len(which)) - np.repeat(starts, counts)
