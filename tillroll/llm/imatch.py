@@ -7,8 +7,9 @@
    to (documents x terms per document), so the lexicon has at most (mean terms
    per document) / LOW_SHARE entries, however large the corpus; this bound is
    checked before the lexicon is sent to the executors.
-2. ``SUBSETS`` random subsets of the lexicon, in levels of falling density, so
-   that short and long texts both have subsets that hold a few of their terms.
+2. Random subsets of the lexicon, each drawn for itself, in levels of falling
+   density, so that short and long texts both have subsets that hold a few of
+   their terms, and one that holds every term: ``SUBSETS`` in all.
 3. Of each text, the distinct lexicon terms are ordered and hashed once per
    subset; the fingerprint is the row of these hashes. The likeness of two
    fingerprints is the share of equal hashes among the subsets that hold a
@@ -42,7 +43,7 @@ from tillroll.llm.common import map_arrow, text_or_empty
 
 LOW_SHARE, HIGH_SHARE = 0.0005, 0.1
 LEVELS, PER_LEVEL = 8, 8            # level l keeps a term with probability 2^-(l+2)
-SUBSETS = LEVELS * PER_LEVEL
+SUBSETS = LEVELS * PER_LEVEL + 1    # the last one holds every term
 MAX_TERMS = 2_000_000               # the largest lexicon that is sent to executors
 OUTSIDE_FROM, OUTSIDE_ALL = 0.4, 0.65
 FLUSH_TERMS = 1 << 20
@@ -50,6 +51,9 @@ BUCKETS_PER_PARTITION, MAX_BUCKETS = 4, 20_000
 FIRST_ID = -(1 << 63)
 _TERM = re.compile(r"[^\W_]+")
 _POWER = np.cumprod(np.full(1 << 16, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
+_DRAWS = _POWER[:SUBSETS - 1]
+_MASKS = np.repeat(np.array([(1 << (level + 2)) - 1 for level in range(LEVELS)], np.uint64), PER_LEVEL)
+HASHED_AT_ONCE = 1 << 14
 
 
 def terms(text: str) -> set[str]:
@@ -92,12 +96,18 @@ def lexicon(docs: DataFrame, text_col: str = "text", low: float = LOW_SHARE,
 def _hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Of each term a 64-bit hash and the bits of the subsets it belongs to."""
     h = np.array([xxhash.xxh64_intdigest(w.encode(), 1) for w in words], np.uint64)
-    member = np.zeros((len(words), LEVELS, PER_LEVEL), bool)
-    for j in range(PER_LEVEL):
-        r = np.array([xxhash.xxh64_intdigest(w.encode(), 100 + j) for w in words], np.uint64)
-        for level in range(LEVELS):
-            member[:, level, j] = r & np.uint64((1 << (level + 2)) - 1) == 0
-    return h, np.packbits(member.reshape(len(words), SUBSETS), axis=1)
+    bits = [_memberships(h[i:i + HASHED_AT_ONCE]) for i in range(0, max(len(h), 1), HASHED_AT_ONCE)]
+    return h, np.concatenate(bits)
+
+
+def _memberships(h: np.ndarray) -> np.ndarray:
+    """A draw of its own for each term and subset (the mixer of splitmix64)."""
+    x = h[:, None] ^ _DRAWS
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    member = np.ones((len(h), SUBSETS), bool)
+    member[:, :-1] = (x ^ (x >> np.uint64(31))) & _MASKS == 0
+    return np.packbits(member, axis=1)
 
 
 class Matcher:
@@ -124,7 +134,7 @@ class Matcher:
             h, member = np.concatenate([h, more]), np.concatenate([member, also])
         order = np.argsort(h)
         h, member = h[order], member[order]
-        bits = np.unpackbits(member, axis=1)
+        bits = np.unpackbits(member, axis=1, count=SUBSETS)
         which, term = np.nonzero(bits.T)        # by subset, terms in order of their hash
         counts = np.bincount(which, minlength=SUBSETS)
         starts = np.cumsum(counts) - counts
