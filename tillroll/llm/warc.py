@@ -36,6 +36,7 @@ from tillroll.llm.common import map_arrow, shared_path
 MIN_REVISIT = 100
 DICTIONARY_BYTES = 64 << 10
 SAMPLE_ROWS, SAMPLE_BYTES = 2000, 8 << 20   # most records, and bytes, a dictionary is trained on
+MAX_SEGMENT = 16 << 10                      # bytes, at most, of each of the two parts of a long record
 LEVEL = 3
 WARC_DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -136,21 +137,27 @@ def plan_records(pages: DataFrame, id_col: str, url_col: str, html_col: str) ->
             .select("page_id", "url", "payload", "digest", "revisits"))
 
 
-def dictionary(pages: DataFrame, rows: int, url_col: str, html_col: str) -> bytes:
-    """Trained on records drawn by hash: SAMPLE_ROWS at most, SAMPLE_BYTES in all."""
-    keep = F.pmod(F.xxhash64(html_col, F.lit(11)), F.lit(1 << 30)) < F.lit(
-        int(min(1.0, 0.8 * SAMPLE_ROWS / max(rows, 1)) * (1 << 30)))
-    each = SAMPLE_BYTES // SAMPLE_ROWS * 8      # longer records are left out of the sample
-    drawn = pages.where(F.col(html_col).isNotNull() & (F.octet_length(html_col) <= each) & keep).select(
-        url_col, html_col).limit(SAMPLE_ROWS).collect()
-    records, size = [], 0
-    for url, html in sorted((r[0] or "", r[1]) for r in drawn):
-        body = html.encode()
-        if size + len(body) > SAMPLE_BYTES:
-            break
-        size += len(body)
-        records.append(record(0, url, body, hashlib.sha256(body).hexdigest(), ()))
-    return train(records) if records else b""
+def dictionary(pages: DataFrame, url_col: str, html_col: str) -> bytes:
+    """Trained on the SAMPLE_ROWS distinct payloads of the lowest hashes. Of a payload
+    over its share of SAMPLE_BYTES, half of the share is its beginning and half a
+    segment at a hashed place."""
+    drawn = pages.where(F.col(html_col).isNotNull()).select(
+        F.xxhash64(html_col, F.lit(11)).alias("h"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    lowest = drawn.select("h").distinct().orderBy("h").limit(SAMPLE_ROWS)
+    last, n = lowest.agg(F.max("h"), F.count(F.lit(1))).first()
+    if not n:
+        return b""
+    half = min(MAX_SEGMENT, SAMPLE_BYTES // n // 2)
+    body, size = F.encode("html", "utf-8"), F.octet_length("html")
+    place = half + F.pmod(F.xxhash64("h"), F.greatest(size - 2 * half, F.lit(0)) + 1).cast("int")
+    part = F.when(size <= 2 * half, body).otherwise(
+        F.concat(F.substring(body, F.lit(1), F.lit(half)), F.substring(body, place + 1, F.lit(half))))
+    # Equal payloads are one record, combined in each task before the shuffle.
+    records = (drawn.where(F.col("h") <= last).groupBy("h")
+               .agg(F.min(F.struct(F.coalesce("url", F.lit("")).alias("url"), part.alias("part"))).alias("r"))
+               .select("h", "r.*").collect())
+    return train([record(0, r["url"], bytes(r["part"]), hashlib.sha256(r["part"]).hexdigest(), ())
+                  for r in sorted(records, key=lambda r: r["h"])])
 
 
 def write_archives(pages: DataFrame, out: str, id_col: str = "page_id", url_col: str = "url",
@@ -160,7 +167,7 @@ def write_archives(pages: DataFrame, out: str, id_col: str = "page_id", url_col:
     Adaptive execution sizes the archives: one per partition of
     ``spark.sql.adaptive.advisoryPartitionSizeInBytes`` payload bytes.
     """
-    held = dictionary(pages, pages.count(), url_col, html_col)
+    held = dictionary(pages, url_col, html_col)
     planned = plan_records(pages, id_col, url_col, html_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
