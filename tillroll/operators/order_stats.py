@@ -123,10 +123,27 @@ def lower_half_median(df: DataFrame, col: str, where: Column | None = None,
 
 
 def exact_median(df: DataFrame, col: str, where: Column | None = None,
-                 alias: str = "median") -> DataFrame:
-    """M6: the true median (mean of the two middle values for even n)."""
+                 alias: str = "median", buckets: int = ACCURACY) -> DataFrame:
+    """M6: the true median (mean of the two middle values for even n), as a double.
+
+    The ranks ``(n + 1) div 2`` and ``n div 2 + 1`` lie between the enclosing
+    quantiles, as those of ``lower_half_median`` do.
+    """
     src = df.where(where) if where is not None else df
-    return src.agg(F.median(F.col(col)).alias(alias))
+    vals = src.select(F.col(col).alias("v")).where(F.col("v").isNotNull())
+    aggs, low, high = _enclosing(buckets)
+    st = vals.agg(*aggs)
+    lo, hi, n = st.select(low).scalar(), st.select(high).scalar(), st.select("n").scalar()
+    v = F.col("v")
+    hist = (vals.where(v <= hi).select(F.when(v >= lo, v).alias("v")).groupBy("v")
+            .agg(F.count(F.lit(1)).alias("c")))
+    upto = Window.orderBy(F.col("v").asc_nulls_first()).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    counted = hist.select("v", F.sum("c").over(upto).alias("cum"), n.alias("n")).where(v.isNotNull())
+    two = F.lit(2)
+    lower = F.min(F.when(F.col("cum") >= F.call_function("div", F.col("n") + 1, two), v))
+    upper = F.min(F.when(F.col("cum") >= F.call_function("div", F.col("n"), two) + 1, v))
+    return counted.agg((lower.cast("double") * 0.5 + upper.cast("double") * 0.5).alias(alias))
 
 
 def top_k(df: DataFrame, col: str, k: int, tiebreak: list[str] | None = None,
