@@ -59,7 +59,7 @@ def test_stages_take_edge_rows_and_empty_tables(spark, tmp_path):
 
 def test_registered_once_per_operator():
     names = set(E.queries())
-    for n in range(1, 11):
+    for n in range(1, 12):
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
     assert "pipeline" in names
 
@@ -76,7 +76,7 @@ def test_query_matches_its_sql(spark, name):
     assert sorted(map(repr, map(tuple, got.select(*names).collect()))) == sorted(map(repr, cur.fetchall()))
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.REGISTRY) - set(queries.ORACLE) - {"op1_toxicity"}))
+@pytest.mark.parametrize("name", sorted(set(queries.REGISTRY) - set(queries.ORACLE) - {"op1_toxicity", "op11_spelling_variants"}))
 def test_other_queries_cover_their_tables(spark, name):
     got = queries.REGISTRY[name](spark, SF)
     ids = {r.doc_id for r in got.select("doc_id").distinct().collect()}

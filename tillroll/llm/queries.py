@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import bpe, exact_dedup, imatch, linededup, mixing, rans, simhash, toxicity, urlrules, warc
+from tillroll.llm import bpe, exact_dedup, imatch, linededup, mixing, rans, simhash, spelling, toxicity, urlrules, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -143,3 +143,8 @@ def op9_rans_token_files(spark, sf_dir):
 @query("op10_bpe_chunk_reuse")
 def op10_bpe_chunk_reuse(spark, sf_dir):
     return bpe.digests(read(spark, sf_dir, "documents"))
+
+
+@query("op11_spelling_variants")
+def op11_spelling_variants(spark, sf_dir):
+    return spelling.spelling_groups(spelling.document_words(read(spark, sf_dir, "documents")))
