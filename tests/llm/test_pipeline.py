@@ -59,7 +59,7 @@ def test_stages_take_edge_rows_and_empty_tables(spark, tmp_path):
 
 def test_registered_once_per_operator():
     names = set(E.queries())
-    for n in range(1, 12):
+    for n in range(1, 14):
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
     assert "pipeline" in names
 

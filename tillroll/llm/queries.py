@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import bpe, exact_dedup, imatch, linededup, mixing, rans, simhash, spelling, toxicity, urlrules, warc
+from tillroll.llm import (bpe, exact_dedup, imatch, linededup, merkle, mixing, rans, repetition, simhash, spelling,
+                          toxicity, urlrules, warc)
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -148,3 +149,113 @@ def op10_bpe_chunk_reuse(spark, sf_dir):
 @query("op11_spelling_variants")
 def op11_spelling_variants(spark, sf_dir):
     return spelling.spelling_groups(spelling.document_words(read(spark, sf_dir, "documents")))
+
+
+# crc32 of a short ASCII text: per byte one xor, then eight shifts (marked -1).
+CRC_SQL = """xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(
+      string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a >> 1, 3988292384 * (a & 1)) END))"""
+
+
+def _leaf_sql(text: str) -> str:
+    parts = ["doc_id", "source", "lang", "n_chars", text]
+    return "sha256(" + " || ".join(f"coalesce(strlen({p}::VARCHAR) || ':' || {p}::VARCHAR, '-')" for p in parts) + ")"
+
+
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+MERKLE_SQL = f"""
+    WITH RECURSIVE d AS (
+      SELECT doc_id, source, {_leaf_sql('text')} AS leaf,
+             CASE WHEN {CRC_SQL} % 5 = 0 THEN {_leaf_sql(_LOWERED)} ELSE {_leaf_sql('text')} END AS changed
+      FROM documents),
+    n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+                 count(*) OVER (PARTITION BY source) AS size FROM d),
+    lv AS (
+      SELECT source, 0 AS lvl, pos, size, leaf AS hash FROM n
+      UNION ALL
+      SELECT source, lvl + 1, pos // 16, (size + 15) // 16, sha256(string_agg(hash, '' ORDER BY pos))
+      FROM lv WHERE size > 1 GROUP BY source, lvl, pos // 16, size),
+    sub AS (SELECT source, hash AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS nth,
+                   count(*) OVER () AS trees FROM lv WHERE size = 1),
+    tv AS (
+      SELECT 0 AS lvl, nth AS pos, trees AS size, subroot AS hash FROM sub
+      UNION ALL
+      SELECT lvl + 1, pos // 16, (size + 15) // 16, sha256(string_agg(hash, '' ORDER BY pos))
+      FROM tv WHERE size > 1 GROUP BY lvl, pos // 16, size),
+    both_levels AS (
+      SELECT s.nth AS tree, lvl, pos, size, hash FROM lv JOIN sub s ON s.source IS NOT DISTINCT FROM lv.source
+      UNION ALL SELECT -1, lvl, pos, size, hash FROM tv),
+    links AS (
+      SELECT tree, lvl, pos, size,
+             coalesce(string_agg(hash, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+             coalesce(string_agg(hash, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after
+      FROM both_levels WINDOW w AS (PARTITION BY tree, lvl, pos // 16 ORDER BY pos)),
+    climb AS (
+      SELECT n.doc_id, n.leaf, s.nth, s.nth AS tree, 0 AS lvl, n.pos, n.changed AS folded, '' AS siblings
+      FROM n JOIN sub s ON s.source IS NOT DISTINCT FROM n.source
+      UNION ALL
+      SELECT c.doc_id, c.leaf, c.nth, CASE WHEN l.size > 1 THEN c.tree ELSE -1 END,
+             CASE WHEN l.size > 1 THEN c.lvl + 1 ELSE 0 END, CASE WHEN l.size > 1 THEN c.pos // 16 ELSE c.nth END,
+             CASE WHEN l.size > 1 THEN sha256(l.before || c.folded || l.after) ELSE c.folded END,
+             CASE WHEN l.size > 1 THEN c.siblings || l.before || l.after ELSE c.siblings END
+      FROM climb c JOIN links l ON l.tree = c.tree AND l.lvl = c.lvl AND l.pos = c.pos
+      WHERE c.tree >= 0 OR l.size > 1),
+    ends AS (SELECT c.* FROM climb c JOIN links l ON l.tree = c.tree AND l.lvl = c.lvl AND l.pos = c.pos
+             WHERE c.tree = -1 AND l.size = 1),
+    root AS (SELECT hash AS root FROM tv WHERE size = 1)
+    SELECT e.doc_id, e.leaf, s.subroot, root.root, sha256(e.siblings) AS proof_sha256, e.folded AS folded_root,
+           e.folded = root.root AS verified
+    FROM ends e JOIN sub s ON s.nth = e.nth, root"""
+
+
+@query("op12_merkle_manifest", MERKLE_SQL)
+def op12_merkle_manifest(spark, sf_dir):
+    return merkle.document_manifest(read(spark, sf_dir, "documents"))
+
+
+def _windows_sql(n: int) -> str:
+    """Per word: whether it lies in a window of n words that the text holds
+    repeatedly (``every``), or that repeats an earlier one (``later``)."""
+    key = "concat_ws(' ', " + ", ".join(["word", *(f"lead(word, {k}) OVER o" for k in range(1, n))]) + ")"
+    return f"""
+    k{n} AS (SELECT r, pos, chars, CASE WHEN pos + {n - 1} <= total THEN {key} END AS key FROM w
+             WINDOW o AS (PARTITION BY r ORDER BY pos)),
+    f{n} AS (SELECT r, pos, chars, CASE WHEN key IS NULL THEN 0 ELSE (count(*) OVER (PARTITION BY r, key) > 1)::INT END AS every,
+             CASE WHEN key IS NULL THEN 0 ELSE (row_number() OVER (PARTITION BY r, key ORDER BY pos) > 1)::INT END AS later FROM k{n}),
+    c{n} AS (SELECT r, sum(every) AS every, sum(chars * later) AS later FROM (
+               SELECT r, chars, max(every) OVER s AS every, max(later) OVER s AS later FROM f{n}
+               WINDOW s AS (PARTITION BY r ORDER BY pos ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)) GROUP BY r)"""
+
+
+REPETITION_SQL = r"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS body FROM documents),
+    l AS (SELECT r, unnest(regexp_extract_all(body, '[^\x20\x09-\x0D]+')) AS word,
+                 generate_subscripts(regexp_extract_all(body, '[^\x20\x09-\x0D]+'), 1) AS pos FROM d),
+    w AS (SELECT r, word, pos, length(word) AS chars, count(*) OVER (PARTITION BY r) AS total FROM l),
+    t AS (SELECT r, count(*) AS n_words, sum(chars)::BIGINT AS word_chars FROM w GROUP BY r),
+    x AS (SELECT r, unnest(string_split(body, chr(10))) AS line,
+                 generate_subscripts(string_split(body, chr(10)), 1) AS pos FROM d),
+    y AS (SELECT r, line, row_number() OVER (PARTITION BY r, line ORDER BY pos) > 1 AS again FROM x
+          WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+    z AS (SELECT r, count(*) AS n_lines, count(*) FILTER (again) AS n_dup_lines,
+                 coalesce(sum(length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g'))) FILTER (again), 0) AS dup_line_chars
+          FROM y GROUP BY r),""" + ",".join(map(_windows_sql, repetition.WINDOW_PERCENT)) + r""",
+    a AS (SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars,
+                 length(regexp_replace(body, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+                 coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(c8.every, 0)::BIGINT AS n_repeat_words,
+                 coalesce(n_lines, 0) AS n_lines, coalesce(dup_line_chars, 0) AS dup_line_chars,
+                 """ + " AND ".join(f"100 * coalesce(c{n}.later, 0) <= {p} * coalesce(word_chars, 0)"
+                                    for n, p in repetition.WINDOW_PERCENT.items()) + """ AS fine
+          FROM d LEFT JOIN t USING (r) LEFT JOIN z USING (r) """ + " ".join(
+              f"LEFT JOIN c{n} ON c{n}.r = d.r" for n in repetition.WINDOW_PERCENT) + """),
+    b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM a)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+           NOT base_failed AND fine AND 100 * n_dup_lines <= 30 * n_lines
+             AND 100 * dup_line_chars <= 20 * word_chars AS kept FROM b"""
+
+
+@query("op13_repetition_rules", REPETITION_SQL)
+def op13_repetition_rules(spark, sf_dir):
+    return repetition.judge(read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
