@@ -140,11 +140,13 @@ def _climb_levels(nodes: DataFrame, widest: int, first_level: int) -> tuple[Data
     return done, links
 
 
+# The loop is planned before its rows are known, and links grow with the table:
+# the join is a shuffled one at every size.
 CLIMB = """
     WITH RECURSIVE climb (start, node, folded, siblings) AS (
       SELECT id, id, folded, unhex('') FROM {starts}
       UNION ALL
-      SELECT c.start, l.parent,
+      SELECT /*+ SHUFFLE_MERGE(l) */ c.start, l.parent,
              transform(c.folded, f -> unhex(sha2(lower(hex(concat(l.before, f, l.after))), 256))),
              concat(c.siblings, l.before, l.after)
       FROM climb c JOIN {links} l ON l.id = c.node)
