@@ -42,7 +42,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.llm.common import map_arrow, stage
@@ -150,8 +150,7 @@ def neighbour_keys(points: np.ndarray, symbols: int, fewer: int) -> tuple[np.nda
 
 
 def _keyed(vocabulary: DataFrame, counts: dict[int, int], generated: bool) -> DataFrame:
-    """``key, id, word, n``: each word under its own key, or under its neighbours'.
-    ``word`` is null where it is longer than ``CARRIED``."""
+    """``key, id, word, n``: each word under its own key, or under its neighbours'."""
 
     def symbols(chars: int) -> int:
         return counts.get(min(chars, CARRIED + 1), MIN_SYMBOLS)
@@ -181,8 +180,22 @@ def _keyed(vocabulary: DataFrame, counts: dict[int, int], generated: bool) -> Da
 
     listed = map_arrow(vocabulary.select(F.xxhash64("word").alias("id"), "word", "n"), run,
                        "id long, word string, n long, keys array<long>")
-    short = F.when(F.char_length("word") <= CARRIED, F.col("word"))
-    return listed.select(F.explode("keys").alias("key"), "id", short.alias("word"), "n")
+    return listed.select(F.explode("keys").alias("key"), "id", "word", "n")
+
+
+def _candidates(vocabulary: DataFrame, counts: dict[int, int], carried: list[str], one_edit: Column,
+                ordered: Column) -> DataFrame:
+    """Rows ``m_...`` and ``f_...`` of words whose reduced words are neighbours or
+    equal and for which ``one_edit`` holds."""
+    def side(name: str, generated: bool) -> DataFrame:
+        return _keyed(vocabulary, counts, generated).select(
+            F.col("key").alias(f"{name}_key"), *[F.col(c).alias(f"{name}_{c}") for c in carried])
+
+    filed, meet = side("f", False), F.col("m_key") == F.col("f_key")
+    found = side("m", True).join(filed, meet & one_edit)
+    # Equal reduced words: the letter replaced had the same symbol.
+    equal = side("m", False).join(filed, meet & ordered & one_edit)
+    return found.unionByName(equal).drop("m_key", "f_key")
 
 
 def near_words(vocabulary: DataFrame) -> DataFrame:
@@ -191,23 +204,18 @@ def near_words(vocabulary: DataFrame) -> DataFrame:
     ``vocabulary`` (``word, n``, words distinct) should be a stored table: it
     is read several times.
     """
-    counts = symbol_counts(vocabulary)
-    filed, made = _keyed(vocabulary, counts, False).alias("f"), _keyed(vocabulary, counts, True).alias("m")
-    other = _keyed(vocabulary, counts, False).alias("m")
-    carried = F.col("m.word").isNotNull() & F.col("f.word").isNotNull()
-    one_edit = F.when(carried, F.levenshtein("m.word", "f.word", 1) == 1).otherwise(True)
-    columns = [F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "mf" for c in ("id", "word", "n")]
-    found = (made.join(filed, (F.col("m.key") == F.col("f.key")) & one_edit).select(*columns)
-             # Equal reduced words: the letter replaced had the same symbol.
-             .unionByName(other.join(filed, (F.col("m.key") == F.col("f.key")) & one_edit & F.when(
-                 carried, F.col("m.word") > F.col("f.word")).otherwise(F.col("m.id") > F.col("f.id"))).select(*columns)))
-    short = found.where("m_word IS NOT NULL AND f_word IS NOT NULL").select("m_word", "m_n", "f_word", "f_n")
-    # A word of CARRIED code points has neighbours one longer, so its string is fetched as well.
-    long = vocabulary.where(F.char_length("word") >= CARRIED).select(F.xxhash64("word").alias("id"), "word", "n")
-    fetched = (found.where("m_word IS NULL OR f_word IS NULL").select("m_id", "f_id")
-               .join(long.toDF("m_id", "m_word", "m_n"), "m_id").join(long.toDF("f_id", "f_word", "f_n"), "f_id")
-               .where(F.levenshtein("m_word", "f_word", 1) == 1).select("m_word", "m_n", "f_word", "f_n").distinct())
-    pairs = short.unionByName(fetched).toDF("word", "n", "near", "near_n")
+    counts, chars = symbol_counts(vocabulary), F.char_length("word")
+    verified = F.levenshtein("m_word", "f_word", 1) == 1
+    columns = ["m_word", "m_n", "f_word", "f_n"]
+    short = _candidates(vocabulary.where(chars <= CARRIED), counts, ["word", "n"], verified,
+                        F.col("m_word") > F.col("f_word"))
+    # Words of CARRIED code points have neighbours one longer.
+    far = vocabulary.where(chars >= CARRIED)
+    strings = far.select(F.xxhash64("word").alias("id"), "word", "n")
+    fetched = (_candidates(far, counts, ["id"], F.lit(True), F.col("m_id") > F.col("f_id")).distinct()
+               .join(strings.toDF("m_id", "m_word", "m_n"), "m_id").join(strings.toDF("f_id", "f_word", "f_n"), "f_id")
+               .where((F.greatest(F.char_length("m_word"), F.char_length("f_word")) > CARRIED) & verified))
+    pairs = short.select(columns).unionByName(fetched.select(columns).distinct()).toDF("word", "n", "near", "near_n")
     return pairs.unionByName(pairs.select(F.col("near").alias("word"), F.col("near_n").alias("n"),
                                           F.col("word").alias("near"), F.col("n").alias("near_n")))
 
