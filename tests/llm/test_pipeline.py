@@ -13,12 +13,6 @@ from tillroll.llm import bpe, exact_dedup, mixing, queries, simhash, toxicity
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-@pytest.fixture(autouse=True)
-def few_trees(monkeypatch):
-    """The stages' own logic is under test, not the classifier's accuracy."""
-    monkeypatch.setattr(toxicity, "TREES", 2)
-
-
 def multiset(df):
     return sorted(map(repr, df.collect()))
 

@@ -38,8 +38,8 @@ WINDOW = 32                 # code points the rolling hash looks back
 MEAN_BITS = 10              # a cut on average every 2^10 code points
 MIN_CHUNK, MAX_CHUNK = 256, 8192
 SALTS = 32                  # tasks over which one chunk hash may spread
-REUSE_BYTES = 32 << 20      # ids a worker keeps for reuse
-WORD_CACHE = 400_000        # pieces its encoder remembers besides
+REUSE_BYTES = 24 << 20      # ids a worker keeps for reuse
+WORD_BYTES = 40 << 20       # what its encoder remembers of single pieces besides
 SPACE = " \t\n\r\x0b\x0c"
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
@@ -103,7 +103,7 @@ class ChunkCoder:
     """Encodes chunk lists; remembers the ids of chunks by their 128-bit hash."""
 
     def __init__(self, path: str):
-        self.encoder = encoder(path, WORD_CACHE)
+        self.encoder = encoder(path, WORD_BYTES)
         self.seen: dict[bytes, bytes] = {}
         self.held = 0
         self.encoded = self.reused = 0
@@ -209,24 +209,47 @@ def deal_by_chunk(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return marked.repartition(parts, "low", salt)
 
 
-def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
-           text_col: str = "text") -> DataFrame:
-    """``(doc_id, ids)`` per row; ``ids``: little-endian unsigned 32-bit integers."""
+def _rows(docs: DataFrame, path: str | None, id_col: str, text_col: str, finish, extra: str) -> DataFrame:
+    """Encodes the dealt rows; ``finish(path)`` makes from a slice's ids the columns
+    ``extra`` declares. One Python worker per task does all of it."""
     path = path or default_tokenizer()
     dealt = deal_by_chunk(docs, id_col, text_col)
+    names = ["doc_id", *(x.split()[0] for x in extra.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = ChunkCoder(path)
+        coder, columns = ChunkCoder(path), finish(path)
         for b in batches:
             order = pc.sort_indices(b.column(2))    # documents that share chunks side by side
             for at in range(0, len(order), 256):
                 part = b.take(order.slice(at, 256))
                 ids = coder.encode([chunks(t) for t in part.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())],
-                                                 names=["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns(ids)], names=names)
 
     kind = dict(dealt.dtypes)["doc_id"]
-    return map_arrow(dealt, run, f"doc_id {kind}, ids binary")
+    return map_arrow(dealt, run, f"doc_id {kind}, {extra}")
+
+
+def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
+           text_col: str = "text") -> DataFrame:
+    """``(doc_id, ids)`` per row; ``ids``: little-endian unsigned 32-bit integers."""
+    return _rows(docs, path, id_col, text_col, lambda p: lambda ids: [pa.array(ids, pa.binary())], "ids binary")
+
+
+_STRINGS: dict[str, pa.Array] = {}
+
+
+def _decoder(path: str):
+    """Joins the token strings of each row's ids; the vocabulary is read once a worker."""
+    if path not in _STRINGS:
+        _STRINGS[path] = vocabulary_strings(path)
+    strings = _STRINGS[path]
+
+    def texts(raw: list[bytes]) -> pa.Array:
+        ends = np.concatenate(([0], np.cumsum([len(x) // 4 for x in raw]))).astype(np.int32)
+        flat = strings.take(pa.array(np.frombuffer(b"".join(raw), "<u4")))
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), " ")
+
+    return texts
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -234,25 +257,32 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     path = path or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        strings = vocabulary_strings(path)
+        texts = _decoder(path)
         for b in batches:
             at = b.schema.get_field_index("ids")
-            for lo in range(0, b.num_rows, 512):
-                part = b.slice(lo, 512)
-                raw = part.column(at).to_pylist()
-                ends = np.concatenate(([0], np.cumsum([len(x) // 4 for x in raw]))).astype(np.int32)
-                flat = strings.take(pa.array(np.frombuffer(b"".join(raw), "<u4")))
-                joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), " ")
-                yield pa.RecordBatch.from_arrays([*part.columns, joined],
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                yield pa.RecordBatch.from_arrays([*part.columns, texts(part.column(at).to_pylist())],
                                                  names=[*b.schema.names, "decoded"])
 
     fields = ", ".join(f"`{c}` {t}" for c, t in encoded.dtypes)
     return map_arrow(encoded, run, f"{fields}, decoded string")
 
 
+def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
+               text_col: str = "text") -> DataFrame:
+    """``(doc_id, ids, decoded)``: encoded and decoded again by the same worker, so
+    that a task holds one tokenizer."""
+    def finish(p):
+        texts = _decoder(p)
+        return lambda ids: [pa.array(ids, pa.binary()), texts(ids)]
+
+    return _rows(docs, path, id_col, text_col, finish, "ids binary, decoded string")
+
+
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every document."""
-    both = decode(encode(docs, path), path)
+    both = round_trip(docs, path)
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
                        F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))

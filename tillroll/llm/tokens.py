@@ -3,7 +3,7 @@
 The tokenizers handled here drop white space and never join across it, so the
 ids of a text are the ids of its white-space separated pieces in order. Each
 distinct piece of a batch is looked up once, and only pieces a worker has not
-seen go to the library; the cache is bounded by ``CACHE_PIECES``.
+seen go to the library; the cache is bounded by ``CACHE_BYTES``.
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_PIECES = 1_200_000     # pieces a worker remembers; then it starts anew
+CACHE_BYTES = 280 << 20     # what a worker remembers of pieces; then it starts anew
+ENTRY_BYTES = 200           # of a remembered piece, besides its letters and ids
 CACHE_LETTERS = 64          # longer pieces are not remembered
 SLICE_BYTES = 4 << 20       # text a worker splits at once
 # ASCII marks that form a token run of their own after a letter or digit.
@@ -32,11 +33,11 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encoder(path: str, pieces: int = CACHE_PIECES) -> "PieceEncoder":
+def encoder(path: str, limit: int = CACHE_BYTES) -> "PieceEncoder":
     """The encoder of this Python worker (kept while the worker lives)."""
-    if (path, pieces) not in _ENCODERS:
-        _ENCODERS[path, pieces] = PieceEncoder(path, pieces)
-    return _ENCODERS[path, pieces]
+    if (path, limit) not in _ENCODERS:
+        _ENCODERS[path, limit] = PieceEncoder(path, limit)
+    return _ENCODERS[path, limit]
 
 
 def _ends_word(core: str) -> bool:
@@ -47,8 +48,8 @@ def _ends_word(core: str) -> bool:
 
 
 class PieceEncoder:
-    def __init__(self, path: str, limit: int = CACHE_PIECES):
-        self.limit = limit
+    def __init__(self, path: str, limit: int = CACHE_BYTES):
+        self.limit, self.held = limit, 0
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
@@ -83,8 +84,9 @@ class PieceEncoder:
     def pieces(self, words: list[str]) -> list[bytes]:
         """Little-endian uint32 ids of each distinct white-space free piece."""
         cache = self.cache
-        if len(cache) > self.limit:
+        if self.held > self.limit:
             cache.clear()
+            self.held = 0
         known = list(map(cache.get, words))
         missing = [i for i, x in enumerate(known) if x is None]
         if not missing:
@@ -109,8 +111,10 @@ class PieceEncoder:
             if tail:
                 ids += new[tail] if tail in new else cache[tail]
             known[i] = ids
-        cache.update((k, v) for k, v in new.items() if len(k) <= CACHE_LETTERS)
-        cache.update((words[i], known[i]) for i in missing if len(words[i]) <= CACHE_LETTERS)
+        kept = {k: v for k, v in new.items() if len(k) <= CACHE_LETTERS}
+        kept.update((words[i], known[i]) for i in missing if len(words[i]) <= CACHE_LETTERS)
+        cache.update(kept)
+        self.held += sum(len(k) + len(v) + ENTRY_BYTES for k, v in kept.items())
         return known
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
