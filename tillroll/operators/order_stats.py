@@ -10,25 +10,27 @@ unfoldable ``LIMIT (subquery)``, which Spark rejects, and a global sort.
 
 Spark form, without any single-task sort of the rows:
 
-1. ``hist``: ``groupBy(series, value).count()`` with map-side partial
-   aggregation, so the shuffle carries distinct values, not rows, and a hot
-   value costs one row per task.
-2. ``percentile_approx`` finds, in the same map-side combined way, two values
-   that enclose the wanted ranks: its rank error is at most n / accuracy, so
-   the quantiles ``MARGIN / accuracy`` to either side of the middle hold them for
+1. ``percentile_approx`` finds, combined on the map side, two values that
+   enclose the wanted ranks: its rank error is at most n / accuracy, so the
+   quantiles ``MARGIN / accuracy`` to either side of the ranks hold them for
    certain, however the values are spread (one huge value among many small
    ones moves nothing).
-3. Values below the lower one are only counted. The distinct values in
-   between, at most about ``2 * (MARGIN + 1) / accuracy`` of them, are ranked
-   exactly.
-
-Several series (price, quantity, receipt total) run as one job. The values at
-the two ranks are combined with integer weights and rounded once (half away
-from zero).
+2. That leaves a fixed share of the values, about 1 in 2,500. While this may be
+   more than ``MOST_RANKED``, the rows strictly between the two values are counted
+   and enclosed again: every round divides them by 2,500, so 10^12 rows take two.
+   Values that many rows share become an end of the interval and count as one.
+3. Values below the interval are only counted; the ``MOST_RANKED`` distinct values
+   in it at most are ranked exactly.
+
+Several series (price, quantity, receipt total) run in the same jobs; one row per
+series and round reaches the driver. The values at the two ranks are combined
+with integer weights and rounded once (half away from zero).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,113 +38,140 @@ from tillroll.functions.numeric import DEC, exact_mean
 
 ACCURACY = 20_000
 MARGIN = 3
+MOST_RANKED = 100_000
+
 
+def _quantiles(v: Column, fractions: tuple[float, float], accuracy: int) -> Column:
+    low, high = (min(1.0, max(0.0, f)) for f in fractions)
+    return F.percentile_approx(v, [low, high], accuracy)
 
-def _enclosing(accuracy: int) -> tuple[list[Column], Column, Column]:
-    """Aggregates of column ``v``, and from them the two enclosing values.
 
-    Below ``4 * accuracy`` rows the margin would be under two ranks; then all
-    values are ranked (few, by that bound).
+def enclosing(values: DataFrame, ranks: Callable[[int], tuple[int, int]], accuracy: int = ACCURACY,
+              most: int | None = None) -> dict:
+    """Per series ``g`` of ``values`` (``g, v``): ``(n, lo, hi)``, so that the
+    ranks ``ranks(n)`` lie in [lo, hi] and ``most`` distinct values at most do.
+
+    Below ``4 * accuracy`` rows the margin would be under two ranks; then the
+    interval holds all values.
     """
-    low, high = (max(0.0, 0.5 - MARGIN / accuracy), min(1.0, 0.5 + MARGIN / accuracy))
-    quantiles = F.expr(f"percentile_approx(v, array({low}D, {high}D), {accuracy})")
-    few = (F.col("n") < 4 * accuracy) | F.lit(low == 0.0)
-    return ([F.count(F.lit(1)).alias("n"), quantiles.alias("q"), F.min("v").alias("least"),
-             F.max("v").alias("most")],
-            F.when(few, F.col("least")).otherwise(F.col("q")[0]),
-            F.when(few, F.col("most")).otherwise(F.col("q")[1]))
+    most = max(MOST_RANKED if most is None else most, 4 * accuracy)
+    v, margin = F.col("v"), MARGIN / accuracy
+    first = values.groupBy("g").agg(
+        F.count(F.lit(1)).alias("n"), F.min(v).alias("least"), F.max(v).alias("most"),
+        _quantiles(v, (0.5 - margin, 0.5 + margin), accuracy).alias("q")).collect()
+    out, left = {}, {}
+    for r in first:
+        wide = r["n"] < 4 * accuracy or margin >= 0.5
+        out[r["g"]] = (r["n"], r["least"], r["most"]) if wide else (r["n"], *r["q"])
+        left[r["g"]] = r["n"] if wide else _inside(r["n"], accuracy)
+    while wide := [g for g, n in left.items() if n > most and out[g][1] != out[g][2]]:
+        # Where the ranks lie relative to the values at both ends.
+        counts = values.where(F.col("g").isin(wide)).agg(*[
+            F.count(F.when((F.col("g") == g) & c, 1)).alias(f"{k}{i}") for i, g in enumerate(wide)
+            for k, c in (("low", v <= out[g][1]), ("high", v < out[g][2]))]).first()
+        strictly = {}
+        for i, g in enumerate(wide):
+            n, lo, hi = out[g]
+            a, b = ranks(n)
+            if b <= counts[f"low{i}"]:
+                out[g] = (n, lo, lo)
+            elif a > counts[f"high{i}"]:
+                out[g] = (n, hi, hi)
+            else:
+                strictly[g] = (counts[f"low{i}"], counts[f"high{i}"] - counts[f"low{i}"], a, b)
+        if not strictly:
+            break
+        open_ = {g: (F.col("g") == g) & (v > out[g][1]) & (v < out[g][2]) for g in strictly}
+        fractions = {g: ((a - below) / n - margin, (b - below) / n + margin)
+                     for g, (below, n, a, b) in strictly.items()}
+        got = values.where(F.col("g").isin(list(strictly))).agg(*[
+            _quantiles(F.when(open_[g], v), fractions[g], accuracy).alias(f"q{i}")
+            for i, g in enumerate(strictly)]).first()
+        for i, g in enumerate(strictly):
+            n, lo, hi = out[g]
+            low, high = fractions[g]
+            q = got[f"q{i}"] or [lo, hi]
+            out[g] = (n, lo if low <= 0 else q[0], hi if high >= 1 else q[1])
+            # An accuracy too small to halve the rows ends here, with all of them.
+            left[g] = min(_inside(strictly[g][1], accuracy), left[g] - 1) if accuracy > 10 * MARGIN else 0
+    return out
+
+
+def _inside(n: int, accuracy: int) -> int:
+    """Rows that enclosing quantiles of ``n`` rows leave strictly between them, at most."""
+    return n * 2 * (MARGIN + 2) // accuracy + 2
+
+
+def _by_series(spots: dict, at: int) -> Column:
+    out = F.lit(None).cast(DEC)
+    for g, spot in spots.items():
+        out = F.when(F.col("g") == g, F.lit(spot[at])).otherwise(out)
+    return out
+
+
+def _counted(values: DataFrame, spots: dict) -> DataFrame:
+    """``g, v, c, cum`` of the distinct values inside the intervals of ``spots``;
+    all values below an interval count as one row at its front."""
+    v = F.col("v")
+    inside = values.withColumns({"lo": _by_series(spots, 1), "hi": _by_series(spots, 2)}).where(v <= F.col("hi"))
+    hist = inside.groupBy("g", F.when(v >= F.col("lo"), v).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    upto = Window.partitionBy("g").orderBy(F.col("v").asc_nulls_first()).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    return hist.withColumn("cum", F.sum("c").over(upto)).where(F.col("v").isNotNull())
+
+
+def _lower_half(n: int) -> tuple[int, int]:
+    return max(1, n // 2 - 1), max(1, n // 2)
 
 
 def lower_half_medians(values: DataFrame, scales: dict[str, int] | None = None,
-                       buckets: int = ACCURACY) -> DataFrame:
-    """Lower-half medians of several series in one job.
+                       buckets: int = ACCURACY, most: int | None = None) -> DataFrame:
+    """Lower-half medians of several series in the same jobs.
 
     ``values`` has columns ``g`` (series name) and ``v`` (decimal, already
     filtered to the qualifying rows). Returns ``g, median`` with one row per
-    series present, rounded to ``scales[g]`` places (default 2). ``buckets``
-    is the accuracy of the enclosing quantiles; the result does not depend on it.
+    series of at least two rows, rounded to ``scales[g]`` places (default 2).
+    ``buckets`` is the accuracy of the enclosing quantiles and ``most`` the number
+    of distinct values one task may rank; the result does not depend on them.
     """
-    scales = scales or {}
     vals = values.where(F.col("v").isNotNull())
-    # One row per series: bounded by the number of series, so broadcast.
-    aggs, low, high = _enclosing(buckets)
-    st = vals.groupBy("g").agg(*aggs).select(
-        "g", F.call_function("div", F.col("n"), F.lit(2)).alias("m"), low.alias("lo"), high.alias("hi"))
-    hist = vals.groupBy("g", "v").agg(F.count(F.lit(1)).alias("c")).join(F.broadcast(st), "g")
-    ranked = _ranks(hist, ["g", "m"])
+    spots = enclosing(vals, _lower_half, buckets, most)
+    m = F.lit(None).cast("long")
+    for g, (n, _, _) in spots.items():
+        m = F.when(F.col("g") == g, F.lit(n // 2)).otherwise(m)
+    counted = _counted(vals, spots).withColumn("m", m)
+    w = F.greatest(F.lit(0), F.least(F.col("cum"), F.col("m"))
+                   - F.greatest(F.col("cum") - F.col("c"), F.col("m") - 2))
+    ranked = counted.groupBy("g").agg(F.sum(F.col("v") * w).alias("sv"), F.sum(w).alias("sw"))
     med = exact_mean("sv", "sw", 2)
-    for name, k in scales.items():
+    for name, k in (scales or {}).items():
         med = F.when(F.col("g") == name, exact_mean("sv", "sw", k)).otherwise(med)
     return ranked.select("g", med.cast(DEC).alias("median"))
 
 
-def _ranks(hist: DataFrame, keys: list[str]) -> DataFrame:
-    """Weighted sum of the values at ranks m-1 and m: ``keys, sv, sw``.
-
-    ``hist``: ``keys, v, c, m, lo, hi``, one row per distinct value. Values
-    outside [lo, hi] leave as sums of counts; only those inside are ordered.
-    """
-    m = F.col("m")
-    place = F.when(F.col("v") < F.col("lo"), -1).when(F.col("v") > F.col("hi"), 1).otherwise(0)
-    placed = hist.withColumn("place", place).where("place <= 0")
-    # All values below count as one row at the front of the order.
-    folded = placed.groupBy(*dict.fromkeys([*keys, "m"]), F.when(F.col("place") == 0, F.col("v")).alias("v")).agg(
-        F.sum("c").alias("c"))
-    upto = Window.partitionBy(*keys).orderBy(F.col("v").asc_nulls_first()).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    counted = folded.withColumn("cum", F.sum("c").over(upto))
-    w = F.greatest(F.lit(0), F.least(F.col("cum"), m) - F.greatest(F.col("cum") - F.col("c"), m - 2))
-    return counted.groupBy(*keys).agg(F.sum(F.col("v") * w).alias("sv"),
-                                      F.sum(F.when(F.col("v").isNotNull(), w)).alias("sw"))
+def _series(df: DataFrame, col: str, where: Column | None) -> DataFrame:
+    src = df.where(where) if where is not None else df
+    return src.select(F.lit(col).alias("g"), F.col(col).alias("v")).where(F.col("v").isNotNull())
 
 
 def lower_half_median(df: DataFrame, col: str, where: Column | None = None,
                       scale: int = 2, buckets: int = ACCURACY,
-                      alias: str = "median") -> DataFrame:
+                      alias: str = "median", most: int | None = None) -> DataFrame:
     """M1-M3: one row, ``alias`` = lower-half median of ``col`` over ``where``
     (NULL when fewer than two values qualify)."""
-    src = df.where(where) if where is not None else df
-    vals = src.select(F.col(col).alias("v")).where(F.col("v").isNotNull())
-    # A one-row aggregate read by scalar subqueries: nothing to join, and the
-    # plan stays lazy. Values above the higher quantile never reach the order.
-    aggs, low, high = _enclosing(buckets)
-    st = vals.agg(*aggs)
-    lo, hi = st.select(low).scalar(), st.select(high).scalar()
-    m = st.select(F.call_function("div", F.col("n"), F.lit(2))).scalar()
-    v = F.col("v")
-    hist = (vals.where(v <= hi).select(F.when(v >= lo, v).alias("v")).groupBy("v")
-            .agg(F.count(F.lit(1)).alias("c")))
-    upto = Window.orderBy(F.col("v").asc_nulls_first()).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    counted = hist.select("v", "c", F.sum("c").over(upto).alias("cum"), m.alias("m"))
-    w = F.greatest(F.lit(0), F.least(F.col("cum"), F.col("m"))
-                   - F.greatest(F.col("cum") - F.col("c"), F.col("m") - 2))
-    weighed = counted.where(F.col("v").isNotNull()).withColumn("w", w)
-    return weighed.agg(exact_mean(F.sum(F.col("v") * F.col("w")), F.sum("w"), scale)
-                       .cast(DEC).alias(alias))
+    found = lower_half_medians(_series(df, col, where), {col: scale}, buckets, most)
+    return found.agg(F.max("median").alias(alias))
 
 
 def exact_median(df: DataFrame, col: str, where: Column | None = None,
-                 alias: str = "median", buckets: int = ACCURACY) -> DataFrame:
-    """M6: the true median (mean of the two middle values for even n), as a double.
-
-    The ranks ``(n + 1) div 2`` and ``n div 2 + 1`` lie between the enclosing
-    quantiles, as those of ``lower_half_median`` do.
-    """
-    src = df.where(where) if where is not None else df
-    vals = src.select(F.col(col).alias("v")).where(F.col("v").isNotNull())
-    aggs, low, high = _enclosing(buckets)
-    st = vals.agg(*aggs)
-    lo, hi, n = st.select(low).scalar(), st.select(high).scalar(), st.select("n").scalar()
-    v = F.col("v")
-    hist = (vals.where(v <= hi).select(F.when(v >= lo, v).alias("v")).groupBy("v")
-            .agg(F.count(F.lit(1)).alias("c")))
-    upto = Window.orderBy(F.col("v").asc_nulls_first()).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    counted = hist.select("v", F.sum("c").over(upto).alias("cum"), n.alias("n")).where(v.isNotNull())
-    two = F.lit(2)
-    lower = F.min(F.when(F.col("cum") >= F.call_function("div", F.col("n") + 1, two), v))
-    upper = F.min(F.when(F.col("cum") >= F.call_function("div", F.col("n"), two) + 1, v))
+                 alias: str = "median", buckets: int = ACCURACY, most: int | None = None) -> DataFrame:
+    """M6: the true median (mean of the two middle values for even n), as a double."""
+    vals = _series(df, col, where)
+    spots = enclosing(vals, lambda n: ((n + 1) // 2, n // 2 + 1), buckets, most)
+    n = spots[col][0] if spots else 0
+    counted, v = _counted(vals, spots), F.col("v")
+    lower = F.min(F.when(F.col("cum") >= (n + 1) // 2, v))
+    upper = F.min(F.when(F.col("cum") >= n // 2 + 1, v))
     return counted.agg((lower.cast("double") * 0.5 + upper.cast("double") * 0.5).alias(alias))
 
 
