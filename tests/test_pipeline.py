@@ -1,6 +1,7 @@
 """Whole-pipeline semantics on hand-made tables."""
 
 import datetime as dt
+from dataclasses import replace
 from decimal import Decimal
 
 from tillroll.plans import pipeline as P
@@ -64,9 +65,62 @@ def test_staged_run_equals_the_lazy_plan_and_leaves_nothing(spark, tmp_path):
     b = P.run(spark, P.Inputs.from_fixtures(spark, sf), str(tmp_path / "final"), p)
     assert a.count() == b.count() > 0
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    assert not [x for x in os.listdir(run_base(spark)) if x.startswith("tillroll-run-")]
+
+
+def run_base(spark):
     from tillroll.session import ensure_checkpoint_dir
-    base = ensure_checkpoint_dir(spark).removeprefix("file:")
-    assert not [x for x in os.listdir(base) if x.startswith("tillroll-run-")]
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)
+    return base.removeprefix("file:")
+
+
+def test_a_failed_run_is_continued_at_the_first_missing_stage(spark, tmp_path, monkeypatch):
+    import os
+
+    import pytest
+
+    from tillroll.sources import store
+    sf, p, out = "/root/testdata/sf0.001", P.FIXTURE_PARAMS, str(tmp_path / "final")
+    want = sorted(map(repr, P.final_output(P.clean_stage(P.Inputs.from_fixtures(spark, sf), p), p).collect()))
+    seen, real = [], store.Stages.__init__
+    monkeypatch.setattr(store.Stages, "__init__", lambda self, *a: (real(self, *a), seen.append(self))[0])
+    finish = P.enrich.receipt_side
+    monkeypatch.setattr(P.enrich, "receipt_side", lambda *a, **k: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        P.run(spark, P.Inputs.from_fixtures(spark, sf), out, p)
+    assert len([x for x in os.listdir(run_base(spark)) if x.startswith("tillroll-run-")]) == 1
+    monkeypatch.setattr(P.enrich, "receipt_side", finish)
+    got = P.run(spark, P.Inputs.from_fixtures(spark, sf), out, p)
+    first, second = (s.computed for s in seen)
+    assert "receipts" in first and "receipt-levels" in first and "wide-receipts" not in first
+    assert "wide-receipts" in second and not set(first) & set(second)
+    assert sorted(map(repr, got.collect())) == want
+    assert not [x for x in os.listdir(run_base(spark)) if x.startswith("tillroll-run-")]
+    # Other parameters are another run: nothing of this one would be reused.
+    P.run(spark, P.Inputs.from_fixtures(spark, sf), out, replace(p, zone="+01:00"))
+    assert set(seen[2].computed) == set(first) | set(second)
+
+
+def test_a_failing_write_leaves_the_old_table(spark, tmp_path):
+    import pytest
+    from pyspark.sql import functions as F
+
+    from tillroll.sources import csv_io, store
+    out = str(tmp_path / "t")
+    for n in (3, 5):
+        csv_io.write_table(spark.range(n), out)
+        assert csv_io.read_table(spark, out).count() == n
+    reader = csv_io.read_table(spark, out)
+    with pytest.raises(Exception, match="broken"):
+        csv_io.write_table(spark.range(9).withColumn("x", F.when(F.col("id") > 7, F.raise_error(F.lit("broken")))), out)
+    assert csv_io.read_table(spark, out).count() == 5
+    csv_io.write_table(spark.range(7), out)
+    assert reader.count() == 5                      # a reader of the version before still finds it
+    assert csv_io.read_table(spark, out).count() == 7
+    assert len([x for x in store.names(spark, out) if x.startswith("v-")]) == store.KEPT_VERSIONS
+    # A crash between the rows and the pointer: the old table stays current.
+    spark.range(2).write.parquet(f"{out}/v-unfinished")
+    assert csv_io.read_table(spark, out).count() == 7
 
 
 def test_second_run_replaces_the_first(spark, tmp_path):
@@ -77,13 +131,13 @@ def test_second_run_replaces_the_first(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 6
 
 
-def test_split_missing_rows_give_the_same_table(spark):
+def test_tagged_rows_give_the_same_table_as_untagged_ones(spark):
     from tillroll.operators import impute
     sf, p = "/root/testdata/sf0.001", P.FIXTURE_PARAMS
     c = P.clean_stage(P.Inputs.from_fixtures(spark, sf), p)
     whole = P.impute_items(c, p, levels=True)
     split = impute.hierarchical_impute(P.joined_items(c), P.item_targets(c, p, True), p.item_levels,
-                                       p.item_level_names, split_missing=True)
+                                       p.item_level_names)
     assert whole.exceptAll(split).count() == 0 and split.exceptAll(whole).count() == 0
 
 

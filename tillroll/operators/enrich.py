@@ -4,11 +4,11 @@ Join order is chosen for shuffles, not copied from the reference text:
 
 * J1 (items x details on receipt_item_id) and J2 (x receipts on receipt_id)
   are large x large inner joins (sort-merge unless AQE finds a small side).
-* J3 (x new_receipts on the same receipt_id) follows J2 directly, so the
-  item side is already hash-partitioned by receipt_id and is not shuffled
-  again; only the receipt side is. The group means are taken over the J2
-  rows by an aggregate of their own, so duplicate receipt ids, which fan J3
-  out, leave them alone. Receipts without id can match nothing and stay out.
+* J3 (x new_receipts on the same receipt_id) meets the stored J2 rows, which are
+  bucketed by receipt_id, so the item side is not shuffled again. The group
+  means are taken over the J2 rows by an aggregate of their own, so duplicate
+  receipt ids, which fan J3 out, leave them alone. Receipts without id can
+  match nothing and stay out.
 * J4 (customers) and J5 (retailers) are keyed on receipt columns, so they
   are applied to the receipt table before J3 - left joins are associative
   here because their conditions only read receipt and dimension columns.

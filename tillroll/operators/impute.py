@@ -11,16 +11,22 @@ mean over a hierarchy of keys, then a global median::
 where "usable" means neither NULL nor 0 *after rounding*. That CASE is
 ``coalesce(nullif(v, 0), nullif(mean1, 0), nullif(mean2, 0), ..., fallback)``.
 
-Plan: one aggregate over the keys of all levels holds sums and counts (with
-map-side partial aggregation, so a hot key costs one row per task); every level
-is a further aggregate of those few rows, joined back on its key with null-safe
-equality (a NULL key is one group, as in ``PARTITION BY``). Adaptive execution
-broadcasts a lookup that turns out small and splits skewed partitions of a
-large one. Compared with window functions this never moves whole rows per level.
+Plan: one aggregate with a grouping set per level (``level_stats``) holds the sum,
+count and rows of every group. Every level is combined by its own keys on the map
+side, so a task sends at most one row per group of a level and a hot key costs
+one row per task; the second step adds those up. The result, a row per group, is
+stored, and the levels' means are read from it.
+
+Only rows that miss a value look anything up; complete rows pass by in a branch
+of their own that no lookup touches. A NULL key is one group, as in ``PARTITION
+BY``. Groups that hold a ``1 / HEAVY_KEYS`` share of the rows are at most
+``HEAVY_KEYS`` by that very condition: their means are broadcast and their rows
+spread over the tasks of the shuffled lookup that serves all others.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -28,6 +34,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions.numeric import DEC, exact_mean
+from tillroll.sources import store
+
+HEAVY_KEYS = 1000           # a group with a larger share of the rows than 1 in so many is heavy
+SPREAD = 1024               # tasks over which a heavy group's rows are spread
 
 # Flag and level labels (fixed values of the reference's output).
 YES, NO = "yes", "no"
@@ -66,55 +76,83 @@ class Target:
     level_col: str | None = None
 
 
-def additive_stats(df: DataFrame, levels: list[list[str]], targets: list[Target]) -> DataFrame:
-    """One aggregate over the keys of all levels: sum and count of every value.
-
-    Sums and counts add up exactly, so the means of every level follow from
-    these rows and the (joined) input is read once for all of them.
-    """
-    keys = list(dict.fromkeys(k for level in levels for k in level))
-    return df.groupBy(*keys).agg(
+def level_stats(df: DataFrame, levels: list[list[str]], targets: list[Target]) -> DataFrame:
+    """One aggregate for all levels: per group of every level its rows, and sum and
+    count of every target; ``__set`` tells the levels apart (``_set_id``)."""
+    keys = _keys(levels)
+    return df.groupingSets([[F.col(k) for k in level] for level in levels], *keys).agg(
+        F.grouping_id().alias("__set"), F.count(F.lit(1)).alias("__rows"),
         *[F.sum(t.value).alias(f"__s_{t.value}") for t in targets],
         *[F.count(t.value).alias(f"__n_{t.value}") for t in targets])
 
 
-def level_lookups(stats: DataFrame, levels: list[list[str]], targets: list[Target]) -> list[DataFrame]:
-    """Per level, ``keys -> usable rounded means`` of every target, from
-    ``additive_stats``."""
-    out = []
-    for i, keys in enumerate(levels):
-        means = [F.nullif(exact_mean(F.sum(f"__s_{t.value}"), F.sum(f"__n_{t.value}"), t.scale),
-                          F.lit(0)).alias(f"__m{i}_{t.value}") for t in targets]
-        lk = stats.groupBy(*keys).agg(*means)
-        # A key whose means are all unusable never fills anything.
-        usable = reduce(lambda a, b: a | b, [F.col(f"__m{i}_{t.value}").isNotNull() for t in targets])
-        out.append(lk.where(usable).select(
-            *[F.col(k).alias(f"__k{i}_{j}") for j, k in enumerate(keys)],
-            *[f"__m{i}_{t.value}" for t in targets]))
+def _keys(levels: list[list[str]]) -> list[str]:
+    return list(dict.fromkeys(k for level in levels for k in level))
+
+
+def _set_id(levels: list[list[str]], i: int) -> int:
+    """``grouping_id`` of level i: a bit per key, set where the level lacks it."""
+    out = 0
+    for k in _keys(levels):
+        out = 2 * out + (k not in levels[i])
     return out
 
 
+def level_lookup(stats: DataFrame, levels: list[list[str]], i: int, targets: list[Target]) -> DataFrame:
+    """``__k<i>_<j>, __m<i>_<target>, __rows``: level i's usable rounded means."""
+    means = [F.nullif(exact_mean(f"__s_{t.value}", f"__n_{t.value}", t.scale), F.lit(0))
+             .alias(f"__m{i}_{t.value}") for t in targets]
+    lk = stats.where(F.col("__set") == _set_id(levels, i)).select(
+        *[F.col(k).alias(f"__k{i}_{j}") for j, k in enumerate(levels[i])], *means, "__rows")
+    # A key whose means are all unusable never fills anything.
+    return lk.where(reduce(lambda a, b: a | b, [F.col(f"__m{i}_{t.value}").isNotNull() for t in targets]))
+
+
+def _look_up(frame: DataFrame, stats: DataFrame, levels: list[list[str]], i: int,
+             targets: list[Target], total: Column) -> DataFrame:
+    """Level i's means at every row of ``frame``, as ``__m<i>_<target>``."""
+    lk, keys = level_lookup(stats, levels, i, targets), levels[i]
+    heavy_share = F.col("__rows") * HEAVY_KEYS >= total
+    same_key = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k{i}_{j}")) for j, k in enumerate(keys)])
+    helper = [f"__k{i}_{j}" for j in range(len(keys))]
+    spread = F.pmod(F.xxhash64(*frame.columns), F.lit(SPREAD)) + 1
+    # At most HEAVY_KEYS rows can hold such a share each.
+    heavy = lk.where(heavy_share).select(
+        *helper, *[F.col(f"__m{i}_{t.value}").alias(f"__h{i}_{t.value}") for t in targets], F.lit(True).alias("__found"))
+    frame = frame.withColumn("__spread", spread).join(F.broadcast(heavy), same_key, "left").drop(*helper)
+    frame = frame.withColumn("__at", F.when(F.col("__found"), F.col("__spread")).otherwise(F.lit(0)))
+    light = lk.where(~heavy_share).drop("__rows").withColumn("__zero", F.lit(0).cast("long"))
+    frame = frame.join(light, same_key & (F.col("__at") == F.col("__zero")), "left")
+    means = {f"__m{i}_{t.value}": F.coalesce(f"__h{i}_{t.value}", f"__m{i}_{t.value}") for t in targets}
+    return frame.withColumns(means).drop(*helper, *[f"__h{i}_{t.value}" for t in targets],
+                                         "__spread", "__found", "__at", "__zero")
+
+
 def hierarchical_impute(df: DataFrame, targets: list[Target], levels: list[list[str]],
                         level_names: list[str] | None = None,
                         stats_from: DataFrame | None = None,
-                        split_missing: bool = False) -> DataFrame:
+                        stored: Callable[[DataFrame], DataFrame] | None = None,
+                        tag: str | None = None) -> DataFrame:
     """Add ``t.out`` (+ ``t.flag``, ``t.level_col``) for every target.
 
     ``levels`` are key lists, most specific first. Group means come from
     ``stats_from`` (default ``df``): the reference computes its windows over
-    the joined rows before later joins fan them out. With ``split_missing``
-    only rows that miss some target go through the lookup joins, at the price
-    of a second pass over ``df``: for stored tables.
+    the joined rows before later joins fan them out. ``stored`` keeps the group
+    sums (default: in the application's scratch folder). ``df`` is read twice,
+    for complete and for incomplete rows; ``tag`` names a boolean column, true
+    where a target is missing, by which a stored ``df`` is partitioned, so that
+    each row is read once. It is dropped.
     """
-    stats = additive_stats(df if stats_from is None else stats_from, levels, targets)
+    stats = (stored or (lambda x: store.keep(x, "levels")))(
+        level_stats(df if stats_from is None else stats_from, levels, targets))
     names = level_names or [",".join(k) for k in levels]
-    any_missing = reduce(lambda a, b: a | b, [missing(t.value) for t in targets])
+    any_missing = F.col(tag) if tag else reduce(lambda a, b: a | b, [missing(t.value) for t in targets])
 
-    def complete(frame: DataFrame, with_lookups: bool) -> DataFrame:
+    def complete(frame: DataFrame, looked_up: bool) -> DataFrame:
         cols = {}
         for t in targets:
             v = F.col(t.value)
-            means = [F.col(f"__m{i}_{t.value}") for i in range(len(levels))] if with_lookups else []
+            means = [F.col(f"__m{i}_{t.value}") for i in range(len(levels))] if looked_up else []
             fb = t.fallback if t.fallback is not None else F.lit(None)
             cols[t.out] = F.coalesce(F.nullif(v, F.lit(0)), *means, fb).cast(DEC)
             if t.flag:
@@ -124,21 +162,11 @@ def hierarchical_impute(df: DataFrame, targets: list[Target], levels: list[list[
                 for i, m in enumerate(means):
                     lvl = lvl.when(m.isNotNull(), names[i])
                 cols[t.level_col] = lvl.otherwise(FALLBACK)
-        return frame.withColumns(cols)
-
-    lookups = level_lookups(stats, levels, targets)
-
-    def with_lookups(frame: DataFrame) -> DataFrame:
-        for i, keys in enumerate(levels):
-            lk = lookups[i]
-            cond = [F.col(k).eqNullSafe(F.col(f"__k{i}_{j}")) for j, k in enumerate(keys)]
-            frame = frame.join(lk, cond, "left")
-        out = complete(frame, True)
-        helper = [c for c in out.columns if c.startswith("__k") or c.startswith("__m")]
-        return out.drop(*helper)
-
-    if not split_missing:
-        return with_lookups(df)
-    todo = with_lookups(df.where(any_missing))
-    done = complete(df.where(~any_missing), False)
-    return done.unionByName(todo)
+        return frame.withColumns(cols).drop(*[c for c in frame.columns if c.startswith("__m") or c == tag])
+
+    # The groups of one level hold every row once.
+    total = stats.where(F.col("__set") == _set_id(levels, 0)).agg(F.sum("__rows")).first()[0]
+    todo = df.where(any_missing)
+    for i in range(len(levels)):
+        todo = _look_up(todo, stats, levels, i, targets, F.lit(total or 0))
+    return complete(df.where(~any_missing), False).unionByName(complete(todo, True))

@@ -4,17 +4,21 @@ load -> clean (C1-C4) -> caps (C5) -> k-sigma (C6) -> medians (M1, M2) ->
 joined items (J1, J2) -> item imputation (I1, I2) -> receipt median (M3) ->
 receipt imputation (I3) -> final table (J3-J6).
 
-Every stage is a DataFrame, and the plan is the same at every size: J1 and J2
-feed one additive aggregate (for the means of all levels) and the rows to
-complete. ``run`` writes the cleaned tables and the joined items as parquet
-under the session's shared checkpoint folder: that cuts the lineage (an
-executor lost later recomputes from the written stage, not from the raw
-scans) and mirrors the reference's committed stages. The folder is deleted at
-the end of the run.
+J1 and J2 run once: the joined rows are stored, bucketed by receipt and tagged
+with whether a value is missing. The group sums of all levels are one aggregate of
+them, J3 meets them without a shuffle of the items, and only incomplete rows look
+up means. The plan is the same at every size.
+
+``run`` commits its stages (cleaned tables, joined rows, group sums, wide
+receipts) under the shared checkpoint folder: that cuts the lineage (an executor
+lost later recomputes from the written stage, not from the raw scans), and a run
+that failed is continued by the next one with the same inputs and parameters
+(``store.Stages``). The folder is deleted when the final table is written.
 """
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -26,7 +30,7 @@ from tillroll.functions.numeric import DEC
 from tillroll.functions.scalars import literal, one_row
 from tillroll.operators import clean, enrich, impute, order_stats, outliers
 from tillroll.session import ensure_checkpoint_dir
-from tillroll.sources import csv_io, fixtures
+from tillroll.sources import csv_io, fixtures, store
 from tillroll.sources.schemas import RAW
 
 
@@ -58,6 +62,9 @@ FIXTURE_PARAMS = Params(price_cap=fixtures.PRICE_CAP, total_cap=fixtures.TOTAL_C
                         as_of=fixtures.AS_OF)
 
 
+TABLES = ("receipts", "customers", "retailers", "brands", "details", "items")
+
+
 class Inputs:
     """The six receipt tables a pipeline reads, typed (C4 applied) but not yet
     cleaned. A table may be given as a function; it is called on first use."""
@@ -101,8 +108,9 @@ class Cleaned:
     """The tables after C1-C6. Each is cleaned on first use, so a query that
     reads receipts only computes no bounds of the items."""
 
-    def __init__(self, makers: dict[str, Callable[[], DataFrame]]):
+    def __init__(self, makers: dict[str, Callable[[], DataFrame]], stored: Callable | None = None):
         self._makers, self._memo = makers, {}
+        self._stored = stored or (lambda name, make, **how: store.keep(make(), name, **how))
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or name not in self._makers:
@@ -115,17 +123,22 @@ class Cleaned:
             self._memo[key] = make()
         return self._memo[key]
 
-    def staged(self, **tables: DataFrame) -> "Cleaned":
-        """The same with some tables replaced by stored ones."""
-        return Cleaned({**{k: (lambda k=k: getattr(self, k)) for k in self._makers},
-                        **{k: (lambda df=df: df) for k, df in tables.items()}})
+    def stored(self, name: str, make: Callable[[], DataFrame], bucket: str | None = None,
+               tag: str | None = None) -> DataFrame:
+        """A stored intermediate table, computed once per cleaned input."""
+        return self.memo(f"stored:{name}", lambda: self._stored(name, make, bucket=bucket, tag=tag))
 
+    def staged(self, **buckets: str) -> "Cleaned":
+        """The same with some tables stored, each bucketed by the column given."""
+        return Cleaned({k: (lambda k=k: self.stored(k, lambda: getattr(self, k), buckets[k]) if k in buckets
+                            else getattr(self, k)) for k in self._makers}, self._stored)
 
-def clean_stage(inp: Inputs, p: Params) -> Cleaned:
-    """C1-C6 on every table (P2: switchable, the reference's script assumes it done)."""
+
+def clean_stage(inp: Inputs, p: Params, stored: Callable | None = None) -> Cleaned:
+    """C1-C6 on every table (P2: switchable, the reference's script assumes it done).
+    ``stored(name, make, bucket=, tag=)`` keeps intermediate tables."""
     if not p.clean:
-        return Cleaned({k: (lambda k=k: getattr(inp, k)) for k in
-                        ("receipts", "customers", "retailers", "brands", "details", "items")})
+        return Cleaned({k: (lambda k=k: getattr(inp, k)) for k in TABLES}, stored)
     return Cleaned({
         "items": lambda: outliers.remove_outliers(inp.items, "price", p.price_cap, p.k_sigma),
         "receipts": lambda: outliers.remove_outliers(inp.receipts, "total_price", p.total_cap, p.k_sigma),
@@ -133,7 +146,7 @@ def clean_stage(inp: Inputs, p: Params) -> Cleaned:
         "brands": lambda: clean.clean_brands(inp.brands),
         "retailers": lambda: inp.retailers,
         "details": lambda: inp.details,
-    })
+    }, stored)
 
 
 def median_price(items: DataFrame, p: Params) -> DataFrame:
@@ -191,12 +204,12 @@ def all_medians(c: Cleaned, p: Params, wanted=MEDIAN_SERIES) -> dict:
 
 
 def impute_receipts(receipts: DataFrame, p: Params, level_col: str | None = None,
-                    fb=None) -> DataFrame:
+                    fb=None, stored: Callable | None = None) -> DataFrame:
     """Receipts.* + imputed_total_price + flag_total_price_imputed."""
     fb = fallback(median_total(receipts, p)) if fb is None else fb
     t = impute.Target("total_price", p.price_scale, "imputed_total_price", fb,
                       flag="flag_total_price_imputed", level_col=level_col)
-    return impute.hierarchical_impute(receipts, [t], p.receipt_levels, p.receipt_level_names)
+    return impute.hierarchical_impute(receipts, [t], p.receipt_levels, p.receipt_level_names, stored=stored)
 
 
 def item_targets(c: Cleaned, p: Params, levels: bool = False) -> list[impute.Target]:
@@ -212,62 +225,72 @@ def item_targets(c: Cleaned, p: Params, levels: bool = False) -> list[impute.Tar
 
 def joined_items(c: Cleaned) -> DataFrame:
     """J1 + J2."""
-    return c.memo("joined", lambda: enrich.join_items(c.items, c.details, c.receipts))
+    return enrich.join_items(c.items, c.details, c.receipts)
+
+
+INCOMPLETE = "incomplete"
+
+
+def stored_items(c: Cleaned) -> DataFrame:
+    """J1 + J2 as a stored table: bucketed by receipt, so that J3 moves no item
+    row, and partitioned by ``INCOMPLETE`` (price or quantity missing)."""
+    return c.stored("joined-items", lambda: joined_items(c).withColumn(
+        INCOMPLETE, impute.missing("price") | impute.missing("quantity")), "receipt_id", INCOMPLETE)
 
 
 def receipts_imputed(c: Cleaned, p: Params, level_col: str | None = None) -> DataFrame:
-    return impute_receipts(c.receipts, p, level_col, all_medians(c, p, ("total_price",))["total_price"])
+    return impute_receipts(c.receipts, p, level_col, all_medians(c, p, ("total_price",))["total_price"],
+                           lambda df: c.stored("receipt-levels", lambda: df))
 
 
-def impute_items(c: Cleaned, p: Params, levels: bool = False) -> DataFrame:
-    """I1 + I2 (+ I4 flags): new_receipt_items over the joined rows.
+def _imputed(c: Cleaned, p: Params, rows: DataFrame, levels: bool) -> DataFrame:
+    return impute.hierarchical_impute(
+        rows, item_targets(c, p, levels), p.item_levels, p.item_level_names, stored_items(c),
+        lambda df: c.stored("item-levels", lambda: df), INCOMPLETE)
 
-    J1 and J2 occur twice in the plan: below the additive aggregate of the
-    level means (which reads keys and values only) and for the rows themselves.
-    """
-    return impute.hierarchical_impute(joined_items(c), item_targets(c, p, levels), p.item_levels,
-                                      p.item_level_names)
+
+def impute_items(c: Cleaned, p: Params, levels: bool = False) -> DataFrame:
+    """I1 + I2 (+ I4 flags): new_receipt_items over the stored joined rows."""
+    return _imputed(c, p, stored_items(c), levels)
 
 
 def final_output(c: Cleaned, p: Params) -> DataFrame:
     """The 20-column final table.
 
-    J1, J2 and J3 run back to back (J2 and J3 share the receipt_id
-    partitioning); the item means are taken over the J2 rows.
+    The wide receipts (J4, J5, I3) are stored in the items' buckets, so J3 runs
+    bucket by bucket without a shuffle, for complete and incomplete rows alike.
     """
-    all_medians(c, p)          # the three medians in one job
-    wide_r = enrich.receipt_side(receipts_imputed(c, p), c.customers, c.retailers, p.as_of, p.zone)
-    joined = joined_items(c)
-    nri = impute.hierarchical_impute(enrich.attach_receipts(joined, wide_r), item_targets(c, p),
-                                     p.item_levels, p.item_level_names, stats_from=joined)
-    return enrich.finish(nri, c.brands)
+    all_medians(c, p)          # the three medians in the same jobs
+    wide = c.stored("wide-receipts", lambda: enrich.receipt_side(
+        receipts_imputed(c, p), c.customers, c.retailers, p.as_of, p.zone), "__nr_id")
+    return enrich.finish(_imputed(c, p, enrich.attach_receipts(stored_items(c), wide), False), c.brands)
 
 
 def run(spark: SparkSession, src: Inputs, out: str, p: Params = Params(),
         stage: bool = True, csv_out: str | None = None) -> DataFrame:
-    """Clean, impute and write the final table to ``out`` (overwrite).
-
-    With ``stage`` the cleaned receipts, the cleaned items and the joined items
-    are written to a run folder under the shared checkpoint directory and
-    re-read, so neither cleaning nor joins are repeated by their consumers or
-    by a retry. The folder is deleted at the end.
+    """Clean, impute and write the final table to ``out``, which is replaced
+    whole (read it with ``csv_io.read_table``).
+
+    With ``stage`` the cleaned receipts, items and details are stored too, in
+    buckets of their join keys. Stages are committed under a digest of the input
+    files, what is read from them and the parameters; if a run fails, the next one
+    with the same digest goes on at the first stage that is missing. Inputs
+    that are not read from files have no digest and always start anew.
     """
-    c = clean_stage(src, p)
-    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tillroll-run-{uuid.uuid4().hex}"
-
-    def stored(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{folder}/{name}")
-        return spark.read.parquet(f"{folder}/{name}")
-
+    digest = store.input_digest({k: getattr(src, k) for k in TABLES})
+    key = hashlib.sha256(f"{digest or uuid.uuid4().hex}|{p}|{stage}".encode()).hexdigest()[:32]
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)
+    stages = store.Stages(spark, f"{base.rstrip('/')}/tillroll-run-{key}", key)
     try:
+        c = clean_stage(src, p, stages.get)
         if stage:
-            c = c.staged(receipts=stored(c.receipts, "receipts"), items=stored(c.items, "items"))
-            joined = stored(joined_items(c), "joined-items")
-            c._memo["joined"] = joined
+            c = c.staged(receipts="id", items="receipt_item_id", details="receipt_item_id")
         csv_io.write_table(final_output(c, p), out)
-    finally:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:
+        if digest is None:
+            stages.drop()
+        raise
+    stages.drop()
     result = csv_io.read_table(spark, out)
     if csv_out:
         csv_io.write_csv(result, csv_out)

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from tillroll.sources import store
+
 # A control character never present in the exported text files.
 _NEVER = "\u0001"
 
@@ -48,13 +50,11 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Create-table-as-select: drop-if-exists then recreate, as parquet."""
-    w = df.write.mode("overwrite")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
+    """Create-table-as-select: the table at ``path`` is replaced whole, as parquet
+    (S4, S5); see ``store.replace_table``. Read it with ``read_table``."""
+    store.replace_table(df, path, partition_by)
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """Re-read a written table; parquet keeps the column types."""
-    return spark.read.parquet(path)
+    """Re-read a written table; parquet keeps the column types."""
+    return spark.read.parquet(store.current_version(spark, path))

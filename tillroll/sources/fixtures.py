@@ -19,6 +19,7 @@ from pyspark.sql.types import DecimalType
 
 from tillroll.functions.numeric import DEC
 from tillroll.functions.timecols import instant_from_utc_wallclock
+from tillroll.sources import store
 
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
                  "lineitem", "events")
@@ -200,32 +201,31 @@ def fingerprint(spark: SparkSession, sf_dir: str, names: tuple[str, ...]) -> str
     return hashlib.sha1("\n".join(sorted(seen)).encode()).hexdigest()[:16]
 
 
-def loaded(spark: SparkSession, kind: str, key: str, make) -> DataFrame:
+#: Buckets of the loaded tables: the columns of J1 and J2.
+BUCKETS = {"receipts": "id", "receipt_items": "receipt_item_id", "receipt_item_details": "receipt_item_id"}
+
+
+def loaded(spark: SparkSession, kind: str, key: str, make, bucket: str | None = None,
+           tag: str | None = None) -> DataFrame:
     """The table stored under ``key``, written by ``make()`` if it is not there.
 
     The folder lies under the shared checkpoint folder and names the
     application and the input files' digest, so changed inputs never meet an
     older table; a table counts only once its writer has committed it.
     """
-    from tillroll.session import ensure_checkpoint_dir
+    path = f"{_loaded_folder(spark)}/{kind}/{key}"
+    if not store.exists(spark, f"{path}/_SUCCESS"):
+        return store.write(make(), path, bucket, tag)
+    return store.read(spark, path)
 
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/tillroll-{kind}/{spark.sparkContext.applicationId}/{key}"
-    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
-        make().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+
+def _loaded_folder(spark: SparkSession) -> str:
+    return f"{store.scratch(spark)}/loaded"
 
 
 def drop_loaded(spark: SparkSession) -> None:
     """Delete what ``loaded`` has stored for this application."""
-    from tillroll.session import ensure_checkpoint_dir
-
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    for kind in ("load", "final"):
-        path = spark._jvm.org.apache.hadoop.fs.Path(
-            f"{base}/tillroll-{kind}/{spark.sparkContext.applicationId}")
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    store.delete(spark, _loaded_folder(spark))
 
 
 class Tables:
@@ -254,7 +254,7 @@ class Tables:
         if not self.materialize:
             return self._derive(name)
         key = f"{name}-{fingerprint(self.spark, self.sf_dir, _SOURCES[name][1])}"
-        return loaded(self.spark, "load", key, lambda: self._derive(name))
+        return loaded(self.spark, "load", key, lambda: self._derive(name), BUCKETS.get(name))
 
     def receipts(self) -> DataFrame:
         return self.table("receipts")
