@@ -39,7 +39,7 @@ MEAN_BITS = 10              # a cut on average every 2^10 code points
 MIN_CHUNK, MAX_CHUNK = 256, 8192
 SALTS = 32                  # tasks over which one chunk hash may spread
 REUSE_BYTES = 24 << 20      # ids a worker keeps for reuse
-WORD_BYTES = 40 << 20       # what its encoder remembers of single pieces besides
+WORD_BYTES = 96 << 20       # what its encoder remembers of single pieces besides
 SPACE = " \t\n\r\x0b\x0c"
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
