@@ -25,3 +25,32 @@ def test_top_share_tiebreak(spark):
     df = spark.createDataFrame([("b",), ("a",), ("c",), ("c",)], "s string")
     top = profile.top_share(profile.share(df, "s"), "s", 2).collect()
     assert [r.s for r in top] == ["c", "a"]
+
+
+def test_reports_equal_the_single_queries_in_one_scan(spark, tmp_path):
+    rows = [("c1", "F", "TX", 30, "1.10", "r1"), ("c1", "F", "TX", 30, "1.10", "r2"), ("c2", "M", "TX", 95, "2.25", "r3"),
+            ("c3", None, "ME", None, None, "r4"), (None, " ", None, 40, "0.35", "r4"), (None, " ", None, 40, "0.35", None)]
+    spark.createDataFrame(rows, "customer_id string, gender string, state string, age int, t string, r string").selectExpr(
+        "* EXCEPT (t)", "cast(t AS decimal(18,2)) AS total").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    R = profile.Report
+    out = profile.reports(df, [
+        R("g", "gender", "customer_id"), R("s", "state"), R("age", None, "customer_id", "age", F.col("age") <= 90),
+        R("spend", "state", "customer_id", "total", scale=2)])
+    got = {(r.report, r.value): (r.n, r.percent, r.mean) for r in out.collect()}
+    for name, entity, col in (("g", ["customer_id"], "gender"), ("s", None, "state")):
+        for r in profile.share(df, col, entity, "n", "p").collect():
+            assert got.pop((name, r[col])) == (r.n, r.p, None)
+    mean = profile.mean_by(df, "age", None, ["customer_id", "age"], F.col("age") <= 90).first()[0]
+    assert got.pop(("age", None)) == (2, None, mean)
+    for r in profile.mean_by(df, "total", ["state"], ["customer_id", "state", "total"], scale=2).collect():
+        n, percent, m = got.pop(("spend", r.state))
+        assert percent is None and (m is None) == (r["mean"] is None) and (m is None or m == float(r["mean"]))
+    assert not got
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("Relation [") <= 2    # the totals reuse the first exchange
+
+
+def test_share_ranks_no_groups_in_one_task(spark):
+    df = spark.range(50).selectExpr("cast(id % 7 AS string) AS s")
+    assert "Window" not in profile.share(df, "s")._jdf.queryExecution().optimizedPlan().toString()

@@ -1,6 +1,6 @@
 """Profiling queries over the final table.
 
-Two generic forms cover the reference's nine queries:
+Generic forms that cover the reference's nine queries:
 
 * ``share``: per value of ``col``, ``COUNT(col)`` and its percentage of all
   (optionally de-duplicated) rows. The numerator skips NULL, the denominator
@@ -8,6 +8,7 @@ Two generic forms cover the reference's nine queries:
   group sizes, so the de-duplicated input is aggregated once.
 * ``mean_by``: average of ``value`` over de-duplicated rows, optionally
   filtered and grouped.
+* ``reports``: any number of both from one scan and one two-step aggregate.
 
 De-duplication is a ``distinct`` (partial aggregation before its shuffle),
 never a collect.
@@ -15,10 +16,12 @@ never a collect.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.functions.numeric import exact_mean, rounded_ratio_pct
+from tillroll.functions.numeric import DEC, exact_mean, rounded_ratio_pct
 from tillroll.operators.order_stats import top_k
 
 
@@ -35,8 +38,8 @@ def share(df: DataFrame, col: str, entity: list[str] | None = None,
     base = df.select(*entity, col).distinct() if entity else df.select(col)
     groups = base.groupBy(col).agg(F.count(F.col(col)).alias(count_alias),
                                    F.count(F.lit(1)).alias("__rows"))
-    # Over the few grouped rows, so the input is aggregated once.
-    total = F.sum("__rows").over(Window.partitionBy())
+    # A scalar over the grouped rows, whose exchange it shares: no task holds them all.
+    total = groups.agg(F.sum("__rows")).scalar()
     return groups.select(col, count_alias,
                          rounded_ratio_pct(F.col(count_alias), total, scale).alias(pct_alias))
 
@@ -76,3 +79,70 @@ def mean_by(df: DataFrame, value: str, by: list[str] | None, distinct_on: list[s
     if by:
         return base.groupBy(*by).agg(agg.alias(alias))
     return base.agg(agg.alias(alias))
+
+
+@dataclass(frozen=True)
+class Report:
+    """One report over (optionally de-duplicated) rows, per value of ``by``.
+
+    Without ``amount`` it is a share (O3, O4, O6-O9), with it a mean (O1, O2, O5)
+    over the rows that ``where`` holds for, distinct by entity, ``by`` and amount.
+    ``scale`` rounds the mean once; None keeps the double average.
+    """
+
+    name: str
+    by: str | None = None
+    entity: str | None = None
+    amount: str | None = None
+    where: Column | None = None
+    scale: int | None = None
+
+
+def reports(df: DataFrame, wanted: list[Report]) -> DataFrame:
+    """``report, value, n, percent, mean`` of all ``wanted`` reports, from one scan.
+
+    Every row is expanded to one narrow row per report and combined in its task:
+    by (report, entity, value, amount), which de-duplicates, then by (report,
+    value), so a hot value costs a row per task. Reports without an entity count
+    rows. The totals are a row per report, so their broadcast is bounded by
+    ``wanted``. ``n`` counts the known values (shares) or amounts (means).
+    """
+    def part(i: int, r: Report) -> Column:
+        held = F.lit(True) if r.where is None else F.coalesce(r.where, F.lit(False))
+        return F.struct(
+            F.lit(i).alias("report"), held.alias("held"),
+            (F.col(r.entity).cast("string") if r.entity else F.lit(None).cast("string")).alias("entity"),
+            (F.col(r.by).cast("string") if r.by else F.lit(None).cast("string")).alias("value"),
+            (F.col(r.amount).cast(DEC) if r.amount else F.lit(None).cast(DEC)).alias("amount"))
+
+    once = F.array(*[F.lit(r.entity is not None) for r in wanted])
+    rows = (df.select(F.inline(F.array(*[part(i, r) for i, r in enumerate(wanted)]))).where("held")
+            .groupBy("report", "entity", "value", "amount").agg(F.count(F.lit(1)).alias("times"))
+            .withColumn("times", F.when(F.get(once, F.col("report")), F.lit(1)).otherwise(F.col("times"))))
+    groups = rows.groupBy("report", "value").agg(
+        F.sum("times").alias("rows"), F.sum(F.col("amount") * F.col("times")).alias("total"),
+        F.coalesce(F.sum(F.when(F.col("amount").isNotNull(), F.col("times"))), F.lit(0)).alias("amounts"))
+    totals = groups.groupBy(F.col("report").alias("of")).agg(F.sum("rows").alias("all_rows"))
+
+    def chosen(make) -> Column:
+        out = F.lit(None)
+        for i, r in enumerate(wanted):
+            out = F.when(F.col("report") == i, make(r)).otherwise(out)
+        return out
+
+    known = F.when(F.col("value").isNotNull(), F.col("rows")).otherwise(F.lit(0))
+    n = F.when(chosen(lambda r: F.lit(r.amount is not None)), F.col("amounts")).otherwise(known)
+    return (groups.join(F.broadcast(totals), F.col("report") == F.col("of")).select(
+        chosen(lambda r: F.lit(r.name)).alias("report"), "value", n.alias("n"),
+        chosen(lambda r: F.lit(None).cast("double") if r.amount
+               else rounded_ratio_pct(known, F.col("all_rows"))).alias("percent"),
+        chosen(lambda r: _mean_of(r)).alias("mean")))
+
+
+def _mean_of(r: Report) -> Column:
+    total, n = F.col("total"), F.col("amounts")
+    if r.amount is None:
+        return F.lit(None).cast("double")
+    if r.scale is None:
+        return F.when(n > 0, total.cast("double") / n)
+    return exact_mean(total, n, r.scale).cast("double")

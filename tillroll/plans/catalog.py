@@ -18,8 +18,7 @@ from pyspark.sql.types import DecimalType
 from tillroll.functions.timecols import completed_years, wallclock_at_offset
 from tillroll.operators import clean, impute, order_stats, outliers, profile, temporal
 from tillroll.plans import pipeline as P
-from tillroll.session import ensure_checkpoint_dir
-from tillroll.sources import csv_io, fixtures, store
+from tillroll.sources import csv_io, fixtures, infer, store
 from tillroll.sources.schemas import SENTINEL_COLUMNS
 
 PARAMS = P.FIXTURE_PARAMS
@@ -146,6 +145,21 @@ def q_total_bounds(spark, sf):
     return _bounds(_tables(spark, sf).receipts(), "total_price", PARAMS.total_cap)
 
 
+@query("sigma_limits")
+def q_sigma_limits(spark, sf):
+    """The least and the greatest whole cent within the exact bounds."""
+    t, out = _tables(spark, sf), []
+    for target, df, cap in (("price", t.receipt_items(), PARAMS.price_cap),
+                            ("total_price", t.receipts(), PARAMS.total_cap)):
+        cents = outliers.null_above(df, target, cap).select(F.col(target).cast("decimal(18,2)"))
+        least, greatest = outliers.sigma_limits(cents, target, PARAMS.k_sigma) or (None, None)
+        kept = F.col(target).between(F.lit(least), F.lit(greatest))
+        out.append(cents.agg(
+            F.lit(target).alias("target"), F.lit(least).cast("double").alias("least"),
+            F.lit(greatest).cast("double").alias("greatest"), F.count_if(kept).alias("n_within")))
+    return out[0].unionByName(out[1])
+
+
 @query("sigma_price")
 def q_sigma_price(spark, sf):
     return doubles(_cleaned(spark, sf).items.select("receipt_item_id", "price"))
@@ -276,14 +290,13 @@ def q_final_unclean(spark, sf):
     return doubles(P.final_output(P.clean_stage(P.Inputs.from_fixtures(spark, sf), p), p))
 
 
-def _exported(spark, sf) -> str:
-    """The derived tables as raw CSV (S3), NULL as ``(null)`` in the sentinel
-    columns, written twice into one folder (S5: the second run replaces the first)."""
+def _exported(spark, sf, *names: str) -> str:
+    """Derived tables as raw CSV (S3), NULL as ``(null)`` in the sentinel columns,
+    written twice into one scratch folder (S5: the second run replaces the first)."""
     t = fixtures.Tables(spark, sf)
-    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tillroll-csv-{uuid.uuid4().hex}"
+    base = f"{store.scratch(spark)}/csv-{uuid.uuid4().hex}"
     for _ in range(2):
-        for name in ("receipts", "customers", "retailers", "brands", "receipt_item_details",
-                     "receipt_items"):
+        for name in names:
             raw = fixtures.as_raw_strings(t.table(name), SENTINEL_COLUMNS.get(name, []))
             csv_io.write_csv(raw, f"{base}/{name}.csv")
     return base
@@ -292,20 +305,29 @@ def _exported(spark, sf) -> str:
 @query("csv_load")
 def q_csv_load(spark, sf):
     """S1 + C1 + C4: the exported items, read back raw and cleaned."""
-    return doubles(P.Inputs.from_csv(spark, _exported(spark, sf)).items)
+    return doubles(P.Inputs.from_csv(spark, _exported(spark, sf, "receipt_items")).items)
 
 
 @query("csv_customers")
 def q_csv_customers(spark, sf):
     """S1 + S3 + C2 + C8: customers through CSV; blanks, quotes and paddings survive."""
-    return clean.clean_customers(P.Inputs.from_csv(spark, _exported(spark, sf)).customers)
+    return clean.clean_customers(P.Inputs.from_csv(spark, _exported(spark, sf, "customers")).customers)
 
 
 @query("csv_round_trip")
 def q_csv_round_trip(spark, sf):
     """Export the derived tables, load them and run the pipeline."""
-    return doubles(P.final_output(
-        P.clean_stage(P.Inputs.from_csv(spark, _exported(spark, sf)), PARAMS), PARAMS))
+    base = _exported(spark, sf, "receipts", "customers", "retailers", "brands", "receipt_item_details",
+                     "receipt_items")
+    return doubles(P.final_output(P.clean_stage(P.Inputs.from_csv(spark, base), PARAMS), PARAMS))
+
+
+@query("csv_typed")
+def q_csv_typed(spark, sf):
+    """S3 + S7: the final table exported as CSV and read again with inferred types."""
+    path = f"{store.scratch(spark)}/csv-{uuid.uuid4().hex}/final_output.csv"
+    csv_io.write_csv(_final(spark, sf), path)
+    return doubles(infer.read_typed_csv(spark, path))
 
 
 @query("customer_age")
@@ -412,6 +434,27 @@ def q_top_brands(spark, sf):
     return profile.top_share(s, "brand_name", TOP_BRANDS, "brand_percent")
 
 
+# Every report of observations, by the names of its own query.
+def _reports() -> list[profile.Report]:
+    return [
+        profile.Report("avg_age", None, "customer_id", "age", F.col("age") <= 90),
+        profile.Report("age_by_gender", "gender", "customer_id", "age", F.col("age") <= 90),
+        profile.Report("share_gender", "gender", "customer_id"),
+        profile.Report("share_state", "state", "customer_id"),
+        profile.Report("spend_by_state", "state", "customer_id", "total_price", scale=2),
+        profile.Report("share_brand", "brand_name"),
+        profile.Report("share_education", "education", "customer_id"),
+        profile.Report("share_retailer_items", "retailer_type"),
+        profile.Report("share_retailer_receipts", "retailer_type", "receipt_id"),
+    ]
+
+
+@query("all_reports")
+def q_all_reports(spark, sf):
+    """O1-O9 from one scan of the final table."""
+    return profile.reports(_final(spark, sf), _reports())
+
+
 # -- E: temporal / distribution ----------------------------------------------
 
 def _prepped(spark, sf) -> DataFrame:

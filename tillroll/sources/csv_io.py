@@ -1,4 +1,4 @@
-"""CSV and table I/O.
+"""CSV and table I/O (S1, S3-S5; S7 with inferred types is in ``infer``).
 
 PostgreSQL ``COPY ... CSV`` reads an unquoted empty field as NULL and a quoted
 empty field as ``''``. Spark's CSV reader does the same when ``nullValue`` is
@@ -17,17 +17,18 @@ from tillroll.sources import store
 _NEVER = "\u0001"
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType,
+def read_csv(spark: SparkSession, path: str, schema: StructType | None,
              multi_line: bool = False) -> DataFrame:
-    """Header CSV with comma delimiter and a declared all-string schema.
+    """Header CSV with comma delimiter and a declared all-string schema (None:
+    strings named by the header).
 
     Quotes inside a quoted field are doubled, a backslash is an ordinary
     character and blanks are kept, as ``COPY ... CSV`` has it. ``multi_line``
     allows quoted line breaks; without it files stay splittable and a quoted
     line break makes its record malformed, which fails the job.
     """
-    return (spark.read.schema(schema)
-            .option("header", True).option("sep", ",")
+    reader = spark.read.schema(schema) if schema is not None else spark.read
+    return (reader.option("header", True).option("sep", ",")
             .option("quote", '"').option("escape", '"')
             .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
             .option("nullValue", _NEVER).option("emptyValue", "")
