@@ -27,6 +27,7 @@ LAST_WEEKDAY = 4          # Monday=0 ... Friday=4
 WEEKDAY, WEEKEND = "weekday", "weekend"
 
 TS = "created_at_mst"
+CUBE_KEYS = ["date", "hour", "state", "retailer_type"]
 
 
 def with_time_parts(df: DataFrame, ts: str = TS) -> DataFrame:
@@ -59,13 +60,38 @@ def filter_optional(df: DataFrame, state: str | None = None,
     return df
 
 
-def daily_counts(df: DataFrame, months: tuple = MONTHS) -> DataFrame:
+def count_cube(df: DataFrame, count_col: str = "receipt_id") -> DataFrame:
+    """The counts behind E3-E9 and their filters: per date, hour, state and
+    retailer type the rows (``n``) and the non-null ``count_col`` (``n_known``).
+
+    As large as the calendar times the filter values, however many rows there are.
+    """
+    return df.groupBy(*CUBE_KEYS).agg(F.count(F.lit(1)).alias("n"), F.count(F.col(count_col)).alias("n_known"))
+
+
+def merged_cube(cubes: DataFrame) -> DataFrame:
+    """Cubes of disjoint rows (their union) as the cube of all these rows."""
+    return cubes.groupBy(*CUBE_KEYS).agg(F.sum("n").alias("n"), F.sum("n_known").alias("n_known"))
+
+
+def cube_rows(cube: DataFrame) -> DataFrame:
+    """A cube with the date parts that the counts below group by."""
+    return cube.withColumns({"month": F.month("date").cast("long"), "dayofweek": F.weekday("date").cast("long")})
+
+
+def _rows_of(count: str | None, of: Column) -> Column:
+    """The rows, or those that the column ``count`` of a cube stands for."""
+    return F.sum(count) if count else F.count(of)
+
+
+def daily_counts(df: DataFrame, months: tuple = MONTHS, count: str | None = None) -> DataFrame:
     """Rows per day in the given months: ``date, month, n``.
 
     Days without rows produce no row (no zero fill), as in the reference.
+    ``count`` names the count of a cube's rows.
     """
     sel = df.where(F.col("month").isin(*months))
-    return sel.groupBy("date", "month").agg(F.count(F.lit(1)).alias("n"))
+    return sel.groupBy("date", "month").agg(_rows_of(count, F.lit(1)).alias("n"))
 
 
 def daily_band(daily: DataFrame, k: float = BAND_K) -> DataFrame:
@@ -85,10 +111,10 @@ def week_part(dayofweek: Column) -> Column:
     return F.when(dayofweek <= LAST_WEEKDAY, WEEKDAY).otherwise(WEEKEND)
 
 
-def weekpart_daily(df: DataFrame, count_col: str = "receipt_id") -> DataFrame:
-    """E5: non-null ``count_col`` per day, split weekday / weekend."""
+def weekpart_daily(df: DataFrame, count_col: str = "receipt_id", count: str | None = None) -> DataFrame:
+    """E5: non-null ``count_col`` per day, split weekday / weekend (of a cube: ``count``)."""
     return (df.withColumn("part", week_part(F.col("dayofweek")))
-              .groupBy("part", "date").agg(F.count(F.col(count_col)).alias("n")))
+              .groupBy("part", "date").agg(_rows_of(count, F.col(count_col)).alias("n")))
 
 
 def _part_stats(daily: DataFrame) -> DataFrame:
@@ -158,10 +184,10 @@ def weekpart_kde(daily: DataFrame, points: int = KDE_POINTS) -> DataFrame:
                     (F.col("k") / norm).alias("density")))
 
 
-def hour_counts(df: DataFrame) -> DataFrame:
-    """E8 input: rows per (part, date, hour)."""
+def hour_counts(df: DataFrame, count: str | None = None) -> DataFrame:
+    """E8 input: rows per (part, date, hour) (of a cube: ``count``)."""
     return (df.withColumn("part", week_part(F.col("dayofweek")))
-              .groupBy("part", "date", "hour").agg(F.count(F.lit(1)).alias("n")))
+              .groupBy("part", "date", "hour").agg(_rows_of(count, F.lit(1)).alias("n")))
 
 
 def hour_pivot(counts: DataFrame) -> DataFrame:

@@ -461,6 +461,12 @@ def _prepped(spark, sf) -> DataFrame:
     return temporal.prep(_final(spark, sf))
 
 
+def _cube(spark, sf) -> DataFrame:
+    """The stored count cube of the final table, with date parts: all that E3-E9 read."""
+    key = f"cube-{fixtures.fingerprint(spark, sf, fixtures.RECEIPT_SOURCES)}"
+    return temporal.cube_rows(fixtures.loaded(spark, "cube", key, lambda: temporal.count_cube(_prepped(spark, sf))))
+
+
 @query("eda_prep")
 def q_eda_prep(spark, sf):
     return doubles(_prepped(spark, sf))
@@ -468,13 +474,12 @@ def q_eda_prep(spark, sf):
 
 @query("daily_counts")
 def q_daily_counts(spark, sf):
-    return temporal.daily_counts(_prepped(spark, sf))
+    return temporal.daily_counts(_cube(spark, sf), count="n")
 
 
 @query("daily_counts_filtered")
 def q_daily_counts_filtered(spark, sf):
-    df = temporal.filter_optional(_prepped(spark, sf), FILTER_STATE, FILTER_RETAILER_TYPE)
-    return temporal.daily_counts(df)
+    return temporal.daily_counts(_filtered(spark, sf), count="n")
 
 
 def _rounded(df: DataFrame, cols: list[str], digits: int) -> DataFrame:
@@ -483,12 +488,12 @@ def _rounded(df: DataFrame, cols: list[str], digits: int) -> DataFrame:
 
 @query("daily_band")
 def q_daily_band(spark, sf):
-    band = temporal.daily_band(temporal.daily_counts(_prepped(spark, sf)))
+    band = temporal.daily_band(temporal.daily_counts(_cube(spark, sf), count="n"))
     return _rounded(band, ["mean", "sd", "lower", "upper"], FLOAT_DIGITS)
 
 
 def _filtered(spark, sf) -> DataFrame:
-    return temporal.filter_optional(_prepped(spark, sf), FILTER_STATE, FILTER_RETAILER_TYPE)
+    return temporal.filter_optional(_cube(spark, sf), FILTER_STATE, FILTER_RETAILER_TYPE)
 
 
 def _hist(daily: DataFrame) -> DataFrame:
@@ -505,22 +510,22 @@ def _kde(daily: DataFrame) -> DataFrame:
 
 @query("weekpart_daily")
 def q_weekpart_daily(spark, sf):
-    return temporal.weekpart_daily(_prepped(spark, sf))
+    return temporal.weekpart_daily(_cube(spark, sf), count="n_known")
 
 
 @query("weekpart_daily_filtered")
 def q_weekpart_daily_filtered(spark, sf):
-    return temporal.weekpart_daily(_filtered(spark, sf))
+    return temporal.weekpart_daily(_filtered(spark, sf), count="n_known")
 
 
 @query("weekpart_hist")
 def q_weekpart_hist(spark, sf):
-    return _hist(temporal.weekpart_daily(_prepped(spark, sf)))
+    return _hist(temporal.weekpart_daily(_cube(spark, sf), count="n_known"))
 
 
 @query("weekpart_kde")
 def q_weekpart_kde(spark, sf):
-    return _kde(temporal.weekpart_daily(_prepped(spark, sf)))
+    return _kde(temporal.weekpart_daily(_cube(spark, sf), count="n_known"))
 
 
 @query("weekpart_daily_events")
@@ -545,7 +550,7 @@ def q_hour_counts(spark, sf):
 
 @query("hour_counts_filtered")
 def q_hour_counts_filtered(spark, sf):
-    return temporal.hour_counts(_filtered(spark, sf))
+    return temporal.hour_counts(_filtered(spark, sf), count="n")
 
 
 @query("hour_pivot")
@@ -561,7 +566,7 @@ def q_hour_box(spark, sf):
 
 @query("hour_box_final")
 def q_hour_box_final(spark, sf):
-    b = temporal.hour_box(temporal.hour_counts(_prepped(spark, sf)))
+    b = temporal.hour_box(temporal.hour_counts(_cube(spark, sf), count="n"))
     return _rounded(b, ["mean", "q1", "med", "q3"], FLOAT_DIGITS)
 
 
