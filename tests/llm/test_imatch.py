@@ -30,7 +30,8 @@ def test_against_a_plain_loop(spark, clash):
     n = len(seq)
     lexicon = sorted(w for w, k in frequency.items()
                      if max(2, I.LOW_SHARE * n) <= k <= max(2, I.HIGH_SHARE * n))
-    m = I.Matcher(lexicon)
+    above = [w for w, k in frequency.items() if k > max(2, I.HIGH_SHARE * n)]
+    m = I.Matcher.of_words(lexicon, above)
     want = []
     for (i, t), (_, after) in zip(seq, seq[1:] + seq[:1], strict=True):
         q = len(t) // 4
@@ -42,7 +43,7 @@ def test_against_a_plain_loop(spark, clash):
 
 
 def test_fingerprint_is_of_the_set_of_band_terms():
-    m = I.Matcher(["ant", "bee", "cat", "dog"])
+    m = I.Matcher.of_words(["ant", "bee", "cat", "dog"])
     same = m.fingerprint("Cat bee, cat ANT")
     assert np.array_equal(same, m.fingerprint("ant bee cat zebra"))
     assert not np.array_equal(same, m.fingerprint("ant bee dog"))

@@ -20,7 +20,7 @@ def likenesses(m, rng, vocabulary, held):
 
 
 def test_rare_texts_stay_as_near_their_edited_text_as_others():
-    rng, m = random.Random(3), I.Matcher(sorted(BAND))
+    rng, m = random.Random(3), I.Matcher.of_words(sorted(BAND))
     usual = np.mean([likenesses(m, rng, BAND, 0) for _ in range(40)], axis=0)
     rare = [f"r{i}" for i in range(3000)]
     for held in (0, 1, 2, 10):
@@ -29,6 +29,6 @@ def test_rare_texts_stay_as_near_their_edited_text_as_others():
 
 
 def test_one_borrowed_band_term_changes_little():
-    m = I.Matcher(["band"])
+    m = I.Matcher.of_words(["band"])
     own = " ".join(f"term{i}" for i in range(60))
     assert I.likeness(m.fingerprint(own), m.fingerprint(own + " band")) > .5

@@ -5,7 +5,7 @@ from tillroll.llm import imatch as I
 
 def test_no_text_with_a_term_looks_empty():
     words = [f"w{i}" for i in range(300)]
-    for m in (I.Matcher(words), I.Matcher([])):
+    for m in (I.Matcher.of_words(words), I.Matcher.of_words([])):
         empty, prints = m.fingerprint(""), [m.fingerprint(w) for w in words]
         assert all(p.any() and I.likeness(p, empty) == 0.0 for p in prints)
         assert all(I.likeness(a, b) < 1.0 for a, b in zip(prints, prints[1:], strict=False))

@@ -4,9 +4,10 @@
    over all documents; the lexicon is the band of terms that at least
    ``LOW_SHARE`` (and two documents) and at most ``HIGH_SHARE`` of the
    documents hold, i.e. an inverse-document-frequency band. Frequencies add up
-   to (documents x terms per document), so the lexicon has at most (mean terms
-   per document) / LOW_SHARE entries, however large the corpus; this bound is
-   checked before the lexicon is sent to the executors.
+   to (documents x terms per document), so the terms from the band's floor up
+   number at most (mean terms per document) / LOW_SHARE, however large the
+   corpus. They travel as sorted 64-bit hashes: 17 bytes each with their subsets,
+   34 MB for a mean of 1,000 distinct terms a document. None is dropped.
 2. Random subsets of the lexicon, each drawn for itself, in levels of falling
    density, so that short and long texts both have subsets that hold a few of
    their terms, and one that holds every term: ``SUBSETS`` in all.
@@ -15,14 +16,16 @@
    fingerprints is the share of equal hashes among the subsets that hold a
    term of either.
 
-Where more than ``OUTSIDE_FROM`` of a text's terms are outside the lexicon (the
-band's floor rises with the corpus, so rare vocabularies fall below it), terms
-outside are used too: those with the lowest hashes, from none of them up to all
-where ``OUTSIDE_ALL`` of the text's terms are outside. So an edit that brings in
-a few terms of the band changes the terms in use by degree only.
+Terms above the band never count, unless a text has no other. Where more than
+``RARE_FROM`` of a text's other terms lie below the band (its floor rises with the
+corpus, so rare vocabularies fall below it), such rare terms are used too: those
+with the lowest hashes, from none of them up to all where ``RARE_ALL`` of the
+terms are rare. So an edit that brings in a few terms of the band changes the
+terms in use by degree only.
 Texts without any term have the all-zero fingerprint; two such are alike (1.0). Null counts as
 empty. ``edited_neighbours`` orders rows by id (null first), then text hash.
-Extra columns are ignored; an empty table gives an empty result.
+Extra columns are ignored; an empty table gives an empty result. A very long
+text is one row's work: its distinct terms are held at once.
 """
 
 from __future__ import annotations
@@ -44,8 +47,8 @@ from tillroll.llm.common import map_arrow, text_or_empty
 LOW_SHARE, HIGH_SHARE = 0.0005, 0.1
 LEVELS, PER_LEVEL = 8, 8            # level l keeps a term with probability 2^-(l+2)
 SUBSETS = LEVELS * PER_LEVEL + 1    # the last one holds every term
-MAX_TERMS = 2_000_000               # the largest lexicon that is sent to executors
-OUTSIDE_FROM, OUTSIDE_ALL = 0.4, 0.65
+RARE_FROM, RARE_ALL = 0.4, 0.65
+SEED = 42                           # of Spark's xxhash64, which the terms are hashed by
 FLUSH_TERMS = 1 << 20
 BUCKETS_PER_PARTITION, MAX_BUCKETS = 4, 20_000
 FIRST_ID = -(1 << 63)
@@ -82,22 +85,31 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def lexicon(docs: DataFrame, text_col: str = "text", low: float = LOW_SHARE,
-            high: float = HIGH_SHARE) -> list[str]:
-    """The sorted terms of the band."""
+            high: float = HIGH_SHARE) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the terms of the band, and of those above it."""
     n = docs.count()
-    band = document_frequencies(docs, text_col).where(
-        (F.col("df") >= max(2, low * n)) & (F.col("df") <= max(2, high * n)))
-    got = [r["term"] for r in band.select("term").limit(MAX_TERMS + 1).collect()]
-    if len(got) > MAX_TERMS:
-        raise ValueError("the texts hold more terms than the band bounds: raise the low share")
-    return sorted(got)
+    known = document_frequencies(docs, text_col).where(F.col("df") >= max(2, low * n)).select(
+        F.xxhash64("term").alias("h"), (F.col("df") > max(2, high * n)).alias("above")).toArrow()
+    h = known["h"].to_numpy().view(np.uint64)
+    above = known["above"].to_numpy().astype(bool)
+    return np.sort(h[~above]), np.sort(h[above])
+
+
+def _term_hashes(words: list[str]) -> np.ndarray:
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(w.encode("utf-8", "surrogatepass"), SEED) for w in words], np.uint64)
+
+
+def _subsets(h: np.ndarray) -> np.ndarray:
+    """The bits of the subsets that each term belongs to."""
+    return np.concatenate([_memberships(h[i:i + HASHED_AT_ONCE])
+                           for i in range(0, max(len(h), 1), HASHED_AT_ONCE)])
 
 
 def _hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Of each term a 64-bit hash and the bits of the subsets it belongs to."""
-    h = np.array([xxhash.xxh64_intdigest(w.encode(), 1) for w in words], np.uint64)
-    bits = [_memberships(h[i:i + HASHED_AT_ONCE]) for i in range(0, max(len(h), 1), HASHED_AT_ONCE)]
-    return h, np.concatenate(bits)
+    h = _term_hashes(words)
+    return h, _subsets(h)
 
 
 def _memberships(h: np.ndarray) -> np.ndarray:
@@ -110,28 +122,47 @@ def _memberships(h: np.ndarray) -> np.ndarray:
     return np.packbits(member, axis=1)
 
 
-class Matcher:
-    """Fingerprints over a sorted lexicon; ``tables`` are its ``_hashes``."""
+def _places(among: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each of ``h`` is in the sorted ``among``, and whether it is there."""
+    if not len(among):
+        return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+    at = np.minimum(np.searchsorted(among, h), len(among) - 1)
+    return at, among[at] == h
+
 
-    def __init__(self, words: list[str], tables: tuple[np.ndarray, np.ndarray] | None = None):
-        self.index = {w: i for i, w in enumerate(words)}
-        self.hash, self.member = tables or _hashes(words)
+class Matcher:
+    """Fingerprints over the sorted term hashes of the band and of those above."""
+
+    def __init__(self, band: np.ndarray, above: np.ndarray, member: np.ndarray | None = None):
+        self.band, self.above = band, above
+        self.member = _subsets(band) if member is None else member
+
+    @classmethod
+    def of_words(cls, band: list[str], above: list[str] = ()) -> "Matcher":
+        return cls(np.sort(_term_hashes(list(band))), np.sort(_term_hashes(list(above))))
+
+    def used(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of a text's term hashes those in use, and their subsets."""
+        at, held = _places(self.band, h)
+        found, member = h[held], self.member[at[held]]
+        rare = h[~held]
+        if len(rare):
+            rare = rare[~_places(self.above, rare)[1]]
+        if not len(found) and not len(rare):
+            return h, _subsets(h)
+        share = (len(rare) / (len(rare) + len(found)) - RARE_FROM) / (RARE_ALL - RARE_FROM)
+        if share <= 0 or not len(rare):
+            return found, member
+        if share < 1:
+            rare = rare[rare < np.uint64(int(share * (1 << 64)))]
+        return np.concatenate([found, rare]), np.concatenate([member, _subsets(rare)])
 
     def fingerprint(self, text: str) -> np.ndarray:
         """One 16-bit hash per subset; 0 where the subset holds none of the terms."""
         own = terms(text)
         if not own:
             return np.zeros(SUBSETS, np.uint16)
-        get = self.index.get
-        found = np.array([i for i in map(get, own) if i is not None], np.int64)
-        h, member = self.hash[found], self.member[found]
-        share = (1 - len(found) / len(own) - OUTSIDE_FROM) / (OUTSIDE_ALL - OUTSIDE_FROM)
-        if share > 0:
-            more, also = _hashes([w for w in own if w not in self.index])
-            if share < 1:
-                held = more < np.uint64(int(share * (1 << 64)))
-                more, also = more[held], also[held]
-            h, member = np.concatenate([h, more]), np.concatenate([member, also])
+        h, member = self.used(_term_hashes(list(own)))
         order = np.argsort(h)
         h, member = h[order], member[order]
         bits = np.unpackbits(member, axis=1, count=SUBSETS)
@@ -202,8 +233,8 @@ def in_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def edited_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next``; the edited text ends with the start of the next one."""
-    words = lexicon(docs, text_col)
-    held = docs.sparkSession.sparkContext.broadcast((words, _hashes(words)))    # bounded: see above
+    band, above = lexicon(docs, text_col)
+    held = docs.sparkSession.sparkContext.broadcast((band, above, _subsets(band)))      # bounded: see above
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(*held.value)
