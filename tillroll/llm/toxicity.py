@@ -15,15 +15,15 @@ for calibration.
 * Model: Spark ML gradient-boosted trees, then isotonic regression of the
   label on their probability, fitted on the rows that neither saw.
 
-The score is the calibrated probability, with a small part of the trees' own
-so that ties of the step function keep their order. Labels are read for
+The score is the calibrated probability; the trees' own enters at the sixth
+decimal, so that ties of the curve keep their order. Labels are read for
 training only; lang, source and id are never features.
 
 Null counts as empty; a text without words has all rates zero and gets a score
 like any other. Ids may repeat; repeated labels train repeatedly; null labels
 are left out. Without labels of both kinds every score is the share of toxic
 labels (0 without labels). Extra columns are ignored; an empty table gives an
-empty result.
+empty result. A very long text is one row's work, linear in its length.
 """
 
 from __future__ import annotations
@@ -49,7 +49,7 @@ MIN_LOG_ODDS, MIN_Z, MIN_TOXIC = 2.5, 2.5, 3
 STEM_LETTERS = (3, 4, 5, 6)
 THRESHOLD = 0.7
 TREES, DEPTH, STEP = 20, 4, 0.25
-RAW_SHARE = 0.02            # of the trees' own probability in the score
+TIE_BREAK = 1e-6            # share of the trees' own probability: orders ties of the curve
 NEAR_WORDS = 5
 SCORE = "__score"
 COUNTS = ("clean_0", "toxic_0", "clean_1", "toxic_1")
@@ -139,7 +139,10 @@ class Featurizer:
         you = np.array([i for i, w in enumerate(words) if w in SECOND_PERSON])
         near = 0
         if found and len(you):
-            near = sum(1 for i, _ in found if np.abs(you - i).min() <= NEAR_WORDS)
+            at = np.array([i for i, _ in found])
+            after = np.minimum(np.searchsorted(you, at), len(you) - 1)
+            near = int((np.minimum(np.abs(you[after] - at), np.abs(you[np.maximum(after - 1, 0)] - at))
+                        <= NEAR_WORDS).sum())
         bytes_ = np.bincount(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), minlength=256)
         total = max(int(bytes_.sum()), 1)
         raw = text.split()
@@ -185,7 +188,7 @@ class Scorer:
         made = self.curve.transform(_with_probability(self.trees, with_features(rows, self.lexicon, kept)))
         calibrated = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("prediction")))
         return made.select(*[F.col(k).alias(c) for c, k in zip(keep, kept, strict=True)],
-                           (calibrated * (1 - RAW_SHARE) + F.col("raw") * RAW_SHARE).alias(SCORE))
+                           (calibrated * (1 - TIE_BREAK) + F.col("raw") * TIE_BREAK).alias(SCORE))
 
 
 def _with_probability(trees, rows: DataFrame) -> DataFrame:
@@ -227,12 +230,17 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, max_rows: int = MAX_T
     made = stage(crossed.unionByName(with_features(spare, words, kept)), "toxicity-features").coalesce(few)
     trees = GBTClassifier(labelCol="toxic", maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=1,
                           maxBins=64, minInstancesPerNode=4).fit(made.where("fold < 8"))
-    held = _with_probability(trees, made.where("fold >= 8")).select(
-        F.col("raw"), F.col("toxic").cast("double").alias("label"))
-    # Two anchors keep the curve defined (and 0 to 1) however few spare rows there are.
-    anchors = rows.sparkSession.createDataFrame([(0.0, 0.0), (1.0, 1.0)], "raw double, label double")
-    curve = IsotonicRegression(featuresCol="raw", labelCol="label").fit(held.unionByName(anchors))
-    return Scorer(words, trees, curve, base)
+    return Scorer(words, trees, calibration(_with_probability(trees, made.where("fold >= 8"))), base)
+
+
+def calibration(spare: DataFrame):
+    """Isotonic regression of ``toxic`` on ``raw``; equal probabilities are one
+    weighted point. Two anchors keep the curve defined (and 0 to 1) however few
+    spare rows there are."""
+    anchors = spare.sparkSession.createDataFrame([(0.0, 0.0), (1.0, 1.0)], "raw double, label double")
+    points = (spare.select("raw", F.col("toxic").cast("double").alias("label")).unionByName(anchors)
+              .groupBy("raw").agg(F.avg("label").alias("label"), F.count(F.lit(1)).cast("double").alias("weight")))
+    return IsotonicRegression(featuresCol="raw", labelCol="label", weightCol="weight").fit(points)
 
 
 def not_held_out(col: str = "label_id") -> Column:
