@@ -51,6 +51,11 @@ def test_reports_equal_the_single_queries_in_one_scan(spark, tmp_path):
     assert "Window" not in plan and plan.count("Relation [") <= 2    # the totals reuse the first exchange
 
 
-def test_share_ranks_no_groups_in_one_task(spark):
-    df = spark.range(50).selectExpr("cast(id % 7 AS string) AS s")
-    assert "Window" not in profile.share(df, "s")._jdf.queryExecution().optimizedPlan().toString()
+def test_reports_scan_the_stored_table_once_when_run(spark, tmp_path):
+    spark.range(1000).selectExpr("cast(id % 7 AS string) AS s", "cast(id % 90 AS string) AS c").write.parquet(
+        str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    out = profile.reports(df, [profile.Report("s", "s"), profile.Report("c", "s", "c")])
+    assert out.count() == 14 and len(out.collect()) == 14
+    final = out._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan ==")[0]
+    assert final.count("Scan parquet") == 1 and "ReusedExchange" in final
