@@ -124,7 +124,7 @@ class RuleIndex:
                 if rule.verdict == "block":
                     blocked = min(blocked or rule.name, rule.name)
                 else:
-                    excepted = rule.name
+                    excepted = min(excepted or rule.name, rule.name)
         pattern = excepted or blocked
         if best:
             return host, path, best.name, best.verdict, pattern
