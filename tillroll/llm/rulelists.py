@@ -128,14 +128,20 @@ def token_hits(rules: DataFrame, urls: DataFrame) -> DataFrame:
 
 
 def loose_hits(rules: list, urls: DataFrame) -> DataFrame:
-    """The fits of one block of rules without a sure token."""
+    """The fits of one block of rules without a sure token; of the patterns only
+    the ones that count: the least of either verdict."""
     block = [tuple(r) for r in rules]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hits = [(u, name, verdict, kind, n, m)
-                    for u, h, p in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)
-                    for name, verdict, regex, kind, n, m in block if fits(kind, regex, u, h, p)]
+            hits = []
+            for u, h, p in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                least = {}
+                for name, verdict, regex, kind, n, m in block:
+                    key = (verdict, name if kind == "host" else None)
+                    if (key not in least or name < least[key][1]) and fits(kind, regex, u, h, p):
+                        least[key] = (u, name, verdict, kind, n, m)
+                hits += least.values()
             cols = list(zip(*hits, strict=True)) or [()] * 6
             kinds = [pa.string()] * 4 + [pa.int32()] * 2
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)],
