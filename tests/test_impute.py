@@ -111,3 +111,20 @@ def test_complete_rows_meet_no_lookup(spark):
     union = plan if plan.nodeName() == "Union" else plan.children().apply(0)
     done, todo = (union.children().apply(k).toString() for k in (0, 1))
     assert "Join" not in done and todo.count("Join LeftOuter") == 4
+
+
+def test_only_keys_of_stored_rows_are_looked_up(spark):
+    """A row is numbered once, has one row of fills at most, and the lookups read and
+    move no other column of it."""
+    from tillroll.plans import catalog, pipeline
+    c, p = catalog._cleaned(spark, "/root/testdata/sf0.001"), catalog.PARAMS
+    at, rows = [pipeline.ROW, "receipt_id"], pipeline.stored_items(c)
+    todo = rows.where(pipeline.INCOMPLETE)
+    assert todo.select(pipeline.ROW).distinct().count() == todo.count() > 0
+    targets = pipeline.item_targets(c, p)
+    stats = level_stats(rows, p.item_levels, targets).localCheckpoint()
+    got = impute.fills(todo, stats, p.item_levels, targets, impute.F.lit(rows.count()), at)
+    assert 0 < got.count() == got.select(*at).distinct().count() <= todo.count()
+    read = [x[x.index("ReadSchema"):] for x in got._jdf.queryExecution().executedPlan().toString().split("\n")
+            if "ReadSchema" in x]
+    assert read and not [x for x in read if "tertiary_category_id" in x or "receipt_item_id" in x]
