@@ -128,3 +128,24 @@ def test_only_keys_of_stored_rows_are_looked_up(spark):
     read = [x[x.index("ReadSchema"):] for x in got._jdf.queryExecution().executedPlan().toString().split("\n")
             if "ReadSchema" in x]
     assert read and not [x for x in read if "tertiary_category_id" in x or "receipt_item_id" in x]
+
+
+@pytest.mark.parametrize("run_rows", [1, 3])
+def test_fills_are_the_same_in_runs_of_any_length(spark, monkeypatch, run_rows):
+    """A receipt's fills in many stored rows (short runs) reach the same rows as in one."""
+    from tillroll.plans import catalog
+
+    def rows():
+        df = catalog.REGISTRY["final_output"](spark, "/root/testdata/sf0.001")
+        return sorted(map(repr, df.collect()))
+
+    one = rows()
+    monkeypatch.setattr(impute, "RUN_ROWS", run_rows)
+    assert rows() == one
+    long = [(i, f"r{i % 2}", f"k{i % 7}", None if i % 3 else Decimal(i)) for i in range(200)]
+    df = spark.createDataFrame(long, "__row long, receipt string, k string, x decimal(18,2)")
+    t = Target("x", 2, "ix")
+    filled = df.where("x is null").selectExpr("__row", "receipt", "cast(__row as decimal(18,2)) __f_x", "0 __l_x")
+    runs = impute.fill_runs(filled, [t], ["__row", "receipt"], 4)
+    got = impute._with_fills(df, runs, [t], ["__row", "receipt"]).collect()
+    assert len(got) == 200 and all(r["__f_x"] == (None if r.x is not None else r["__row"]) for r in got)

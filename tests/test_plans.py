@@ -92,3 +92,14 @@ def test_incomplete_rows_are_read_from_their_own_folder(spark):
 def test_share_reads_the_final_table_once(spark):
     txt = plan_text(catalog.REGISTRY["share_brand"](spark, SF))
     assert txt.count("Scan parquet") == 1
+
+
+def test_fills_meet_the_stored_rows_as_they_lie(spark):
+    """With broadcasts off the incomplete rows move for no fill, with or without the receipts."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "Exchange" not in executed(catalog.REGISTRY["impute_price"](spark, SF))
+        final = executed(catalog.REGISTRY["final_output"](spark, SF))
+        assert final.count("SortMergeJoin") >= 3 and not re.search(r"hashpartitioning\([^)]*__row", final)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
