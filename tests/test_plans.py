@@ -5,6 +5,7 @@ import re
 
 from tillroll.operators import impute
 from tillroll.plans import catalog, pipeline
+from tillroll.sources import store
 
 SF = "/root/testdata/sf0.001"
 
@@ -103,3 +104,17 @@ def test_fills_meet_the_stored_rows_as_they_lie(spark):
         assert final.count("SortMergeJoin") >= 3 and not re.search(r"hashpartitioning\([^)]*__row", final)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_complete_receipts_stay_in_their_buckets(spark):
+    """Receipts with a total are not dealt again (the rows stay the same), and each
+    bucket of the wide receipts is one file, so no task writes the rows of many."""
+    c, p = catalog._cleaned(spark, SF), catalog.PARAMS
+    got = pipeline.receipts_imputed(c, p, lies_by="id")
+    assert got.exceptAll(pipeline.receipts_imputed(c, p)).isEmpty()
+    catalog.REGISTRY["final_output"](spark, SF)
+    folders = [n for n in store.names(spark, store.scratch(spark)) if n.startswith("wide-receipts")]
+    assert folders and spark.conf.get(store.AUTO_SCAN) == "true"
+    for folder in folders:
+        files = [n for n in store.names(spark, f"{store.scratch(spark)}/{folder}") if n.startswith("part-")]
+        assert 0 < len(files) <= store.buckets(spark)
