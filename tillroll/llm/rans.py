@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import map_arrow, shared_path, stage, text_or_empty
+from tillroll.llm.common import batches_of, map_arrow, shared_path, stage, text_or_empty
 from tillroll.llm.tokens import default_tokenizer, encoder
 
 END_ID = 1
@@ -41,6 +41,7 @@ SCALE_BITS = 20             # frequencies sum to 2^20, above any vocabulary here
 LANES = 1024
 CHECKPOINT_STEPS = 64
 BLOCK_IDS = 1 << 19         # ids a block closes at (a longer document makes a longer block)
+ROWS = 1024                 # documents a worker is handed at once
 MAGIC = b"RANB"
 # Ends every frame; the text writer appends it to each row.
 FRAME_END = b"\x1eEND\x1e\n"
@@ -164,6 +165,32 @@ def frames(data: bytes) -> Iterator[tuple[list, list, bytes]]:
         yield doc_ids, lengths, body[8 + a:]
 
 
+def with_end(ids: np.ndarray, ends: np.ndarray, end_id: int, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts with ``end_id`` behind each text's, and the new ends."""
+    ends = ends + np.arange(len(ends))
+    out, is_id = np.empty(ends[-1], kind), np.ones(ends[-1], bool)
+    is_id[ends[1:] - 1] = False
+    out[is_id], out[~is_id] = ids, end_id
+    return out, ends
+
+
+def cut(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binary values, one after another in the memory of ``ids``."""
+    offsets = pa.array(ends * ids.itemsize, pa.int32())     # fails where they do not fit
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, offsets.buffers()[1], pa.py_buffer(ids)])
+
+
+def joined(values: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """What ``cut`` was given, without a copy of the ids."""
+    values = values.cast(pa.large_binary())
+    ends = np.frombuffer(values.buffers()[1], np.int64, len(values) + 1, 8 * values.offset)
+    size = np.dtype(kind).itemsize
+    if ends[-1] == ends[0]:
+        return np.zeros(0, kind), np.zeros(len(values) + 1, np.int64)
+    ids = np.frombuffer(values.buffers()[2], kind, (ends[-1] - ends[0]) // size, ends[0])
+    return ids, (ends - ends[0]) // size
+
+
 def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
                  end_id: int = END_ID) -> DataFrame:
     """``(doc_id, text_hash, ids)``; ids are little-endian uint16 or uint32
@@ -173,16 +200,12 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
         kind = "<u2" if len(coder.word_end) <= 1 << 16 else "<u4"
-        end = np.array([end_id], kind).tobytes()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2048):
-                b = batch.slice(lo, 2048)
-                ids, ends = coder.encode(b.column(2))
-                ids = ids.astype(kind)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0), b.column(1),
-                     pa.array([ids[x:y].tobytes() + end for x, y in zip(ends[:-1], ends[1:], strict=True)],
-                              pa.binary())], names=["doc_id", "text_hash", "ids"])
+            for lo in range(0, batch.num_rows, ROWS):
+                b = batch.slice(lo, ROWS)
+                ids, ends = with_end(*coder.encode(b.column(2)), end_id, kind)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), cut(ids, ends)],
+                                                 names=["doc_id", "text_hash", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"),
                        text.alias("text"))
@@ -199,9 +222,8 @@ def count_ids(encoded: DataFrame, kind: str, size: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for b in batches:
-            for lo in range(0, b.num_rows, 1024):
-                raw = b"".join(b.column(0).slice(lo, 1024).to_pylist())
-                total += np.bincount(np.frombuffer(raw, kind), minlength=size)
+            for lo in range(0, b.num_rows, ROWS):
+                total += np.bincount(joined(b.column(0).slice(lo, ROWS), kind)[0], minlength=size)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])],
                                          names=["id", "n"])
@@ -221,22 +243,26 @@ def write_files(encoded: DataFrame, out: str, freq: np.ndarray, kind: str, files
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = FrequencyTable(table_bytes.value)
-        doc_ids, parts, held = [], [], 0
+        doc_ids, lengths, parts, held = [], [], [], 0
 
         def flush():
-            raw = [np.frombuffer(p, kind) for p in parts]
-            data = frame(doc_ids, np.array([len(r) for r in raw]),
-                         np.concatenate(raw).astype(np.uint32), table)
+            data = frame(doc_ids, np.concatenate(lengths), np.concatenate(parts), table)
             return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["frame"])
 
         for b in batches:
-            for d, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                doc_ids.append(d)
-                parts.append(p)
-                held += len(p)
-                if held >= BLOCK_IDS * np.dtype(kind).itemsize:
+            ids, ends = joined(b.column(1), kind)
+            at = 0
+            while at < b.num_rows:
+                # Up to the document that fills the block.
+                to = min(b.num_rows, int(np.searchsorted(ends, ends[at] + BLOCK_IDS - held)))
+                doc_ids += b.column(0).slice(at, to - at).to_pylist()
+                lengths.append(np.diff(ends[at:to + 1]))
+                parts.append(ids[ends[at]:ends[to]].astype(np.uint32))
+                held += int(ends[to] - ends[at])
+                at = to
+                if held >= BLOCK_IDS:
                     yield flush()
-                    doc_ids, parts, held = [], [], 0
+                    doc_ids, lengths, parts, held = [], [], [], 0
         if parts:
             yield flush()
 
@@ -257,13 +283,10 @@ def read_files(spark, out: str, freq: np.ndarray) -> DataFrame:
                 seq = at = 0
                 for doc_ids, lengths, block in frames(data.as_py()):
                     ids = read_block(block, table).astype("<u4")
-                    ends = np.cumsum(lengths)
-                    raw, n = ids.tobytes(), len(lengths)
+                    ends, n = np.concatenate(([0], np.cumsum(lengths))), len(lengths)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([name] * n, pa.int64()), pa.array(np.arange(seq, seq + n)),
-                         pa.array(doc_ids, pa.int64()), pa.array(at + ends - lengths),
-                         pa.array([raw[4 * (e - k):4 * e] for e, k in zip(ends.tolist(), lengths, strict=True)],
-                                  pa.binary())],
+                         pa.array(doc_ids, pa.int64()), pa.array(at + ends[:-1]), cut(ids, ends)],
                         names=["file", "seq", "doc_id", "local_start", "ids"])
                     seq, at = seq + n, at + len(ids)
 
@@ -299,13 +322,15 @@ def token_files(docs: DataFrame, path: str | None = None, out: str | None = None
     out = out or shared_path(spark, "tokens")
     kind = id_kind(path)
     size = len(encoder(path).word_end)
-    encoded = stage(encode_texts(docs, path, id_col, text_col), "token-ids")
-    counts = count_ids(encoded, kind, size)
+    with batches_of(spark, ROWS):
+        encoded = stage(encode_texts(docs, path, id_col, text_col), "token-ids")
+        counts = count_ids(encoded, kind, size)
     if not counts.any():
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids binary")
     freq = FrequencyTable.from_counts(counts).freq.astype(np.int64)
     files = min(MAX_FILES, max(1, -(-int(counts.sum()) * np.dtype(kind).itemsize // file_bytes)))
-    write_files(encoded, out, freq, kind, files)
+    with batches_of(spark, ROWS):
+        write_files(encoded, out, freq, kind, files)
     back = read_files(spark, out, freq)
     # One row per file, MAX_FILES at most: small enough to sum up and broadcast.
     before = F.coalesce(F.sum("held").over(Window.orderBy("file").rowsBetween(
