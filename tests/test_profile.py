@@ -59,3 +59,31 @@ def test_reports_scan_the_stored_table_once_when_run(spark, tmp_path):
     assert out.count() == 14 and len(out.collect()) == 14
     final = out._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan ==")[0]
     assert final.count("Scan parquet") == 1 and "ReusedExchange" in final
+
+
+def test_reports_of_an_entity_share_their_rows_and_totals_their_shuffle(spark, tmp_path):
+    """A customer is one row of the first shuffle, not one per report, and no step
+    before the groups runs a second time for the totals."""
+    spark.range(0, 4000, 1, 1).selectExpr(
+        "cast(id % 200 AS string) AS c", "cast(id % 2 AS string) AS g", "cast(id % 5 AS string) AS s",
+        "cast(id % 100 AS int) AS age", "cast(id % 50 AS decimal(18,2)) AS total").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    R = profile.Report
+    out = profile.reports(df, [R("g", "g", "c"), R("s", "s", "c"), R("age", "g", "c", "age", F.col("age") <= 90),
+                               R("spend", "s", "c", "total", scale=2)])
+    out.collect()
+
+    def shuffles(plan):
+        if plan.nodeName().startswith("AdaptiveSparkPlan"):
+            return shuffles(plan.executedPlan())
+        if plan.nodeName().endswith("QueryStage"):
+            return shuffles(plan.plan())
+        here = [plan] if plan.nodeName() == "Exchange" else []
+        return here + [x for k in range(plan.children().size()) for x in shuffles(plan.children().apply(k))]
+
+    written = [x.metrics().apply("shuffleRecordsWritten").value() for x in shuffles(out._jdf.queryExecution().executedPlan())]
+    # Rows of customers and of their totals, rows per report, groups, totals.
+    assert max(written) < 3 * 200 and sum(n < 100 for n in written) == 2
+    for name, col in (("g", "g"), ("s", "s")):
+        got = {r.value: (r.n, r.percent) for r in out.where(F.col("report") == name).collect()}
+        assert got == {r[col]: (r.n, r.p) for r in profile.share(df, col, ["c"], "n", "p").collect()}
